@@ -42,50 +42,90 @@ def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def tile(test: np.ndarray, text: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
+def _common(test: np.ndarray, text: np.ndarray, hashes: np.ndarray | None, shortest: int) -> tuple[list[int], list[int], int]:
+    """The text's words under windows of ``shortest`` words that the test has too, with their places; zones end in 0.
+
+    Third comes the longest zone's length.
+    """
+    keys = np.sort(window_hashes(test, shortest))
+    hashes = window_hashes(text, shortest) if hashes is None else hashes
+    if not len(keys) or not len(hashes):
+        return [], [], 0
+    hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
+    if not len(hit):
+        return [], [], 0
+    edge = np.zeros(len(text) + 1, np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + shortest, -1)
+    at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    gaps = np.flatnonzero(np.diff(at) > 1) + 1
+    longest = int(np.diff(np.concatenate([[0], gaps, [len(at)]])).max())
+    return np.append(np.insert(text[at], gaps, 0), 0).tolist(), np.append(np.insert(at, gaps, -1), -1).tolist(), longest
+
+
+def tile(test: np.ndarray, text: np.ndarray, shortest: int, hashes: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: non-overlapping common runs (length, place in test, place in text), longest first.
 
     The search length starts high and falls to ``shortest``; at each length all runs found by hash are extended over
     unmarked words and marked in order of length, so that the first tile is the longest common run. Id 0 matches nothing.
+    Only the zones of the text that share a window with the test are tiled: no tile can lie elsewhere. ``hashes`` may
+    hold the text's window hashes of length ``shortest``.
     """
-    free_p, free_t = test != 0, text != 0
+    t_ids, places, longest = _common(test, text, hashes, shortest)
+    p_ids = test.tolist()
+    free_p, free_t = [x != 0 for x in p_ids], [x != 0 for x in t_ids]
     tiles: list[tuple[int, int, int]] = []
-    length = max(shortest, min(len(test), len(text)) // 2)
-    while True:
+    length = max(shortest, min(len(p_ids), longest))
+    while t_ids:
         by: dict[int, list[int]] = defaultdict(list)
-        open_p = _open(free_p, length)
-        hashes = window_hashes(test, length)
-        for p in np.flatnonzero(open_p):
-            by[int(hashes[p])].append(int(p))
+        for p, h in _windows(p_ids, free_p, length):
+            by[h].append(p)
         runs: list[tuple[int, int, int]] = []
-        longest = 0
-        if by:
-            text_hashes, last = window_hashes(text, length), {}
-            hit = _open(free_t, length) & np.isin(text_hashes, np.fromiter(by, np.uint64, len(by)))
-            for t in np.flatnonzero(hit):
-                for p in by[int(text_hashes[t])]:
-                    # inside a run that was already extended from further left
-                    if last.get(t - p, -1) >= t:
-                        continue
-                    n = 0
-                    while p + n < len(test) and t + n < len(text) and test[p + n] == text[t + n] and free_p[p + n] and free_t[t + n]:
-                        n += 1
-                    if n >= length:
-                        runs.append((n, p, int(t)))
-                        longest = max(longest, n)
-                        last[t - p] = t + n - length
+        end: dict[int, int] = {}
+        for t, h in _windows(t_ids, free_t, length) if by else ():
+            for p in by.get(h, ()):
+                # inside a run that was already extended from further left
+                if end.get(t - p, -1) > t:
+                    continue
+                n = 0
+                while p + n < len(p_ids) and p_ids[p + n] == t_ids[t + n] and free_p[p + n] and free_t[t + n]:
+                    n += 1
+                if n >= length:
+                    runs.append((n, p, t))
+                    end[t - p] = t + n
         marked = False
         for n, p, t in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
-            if free_p[p : p + n].all() and free_t[t : t + n].all():
-                free_p[p : p + n] = False
-                free_t[t : t + n] = False
-                tiles.append((n, p, t))
+            if all(free_p[p : p + n]) and all(free_t[t : t + n]):
+                free_p[p : p + n] = free_t[t : t + n] = [False] * n
+                tiles.append((n, p, places[t]))
                 marked = True
-        if marked:
-            continue  # what was partly covered may still leave a shorter run of this length
+        # what was partly covered may still leave a shorter run of this length
+        if marked and len(runs) > 1:
+            continue
         if length == shortest:
-            return sorted(tiles, key=lambda r: (-r[0], r[1], r[2]))
+            break
         length = max(shortest, length // 2)
+    return sorted(tiles, key=lambda r: (-r[0], r[1], r[2]))
+
+
+_MODULUS, _FACTOR = (1 << 61) - 1, 1_000_003
+
+
+def _windows(ids: list[int], free: list[bool], k: int) -> Iterator[tuple[int, int]]:
+    """(place, running Karp-Rabin hash) of each window of ``k`` free words."""
+    drop = pow(_FACTOR, k, _MODULUS)
+    h = n = 0
+    for i, x in enumerate(ids):
+        if not free[i]:
+            h = n = 0
+            continue
+        h = h * _FACTOR + x
+        n += 1
+        if n > k:
+            h -= ids[i - k] * drop
+        h %= _MODULUS
+        if n >= k:
+            yield i - k + 1, h
 
 
 def _open(free: np.ndarray, k: int) -> np.ndarray:
@@ -152,8 +192,11 @@ def _search(handle, shortest: int):
                 while stop < len(texts) and (size == 0 or size < STEP_CHARS):
                     size += len(texts[stop])
                     stop += 1
+                at, hashes = -1, None
                 for d, i, ids in tests.pairs(texts[start:stop]):
-                    tiles = tile(tests.item[i], ids, shortest)
+                    if d != at:
+                        at, hashes = d, window_hashes(ids, shortest)
+                    tiles = tile(tests.item[i], ids, shortest, hashes)
                     if tiles:
                         rows.append((names[start + d], tests.names[i], tiles[0][0], sum(t[0] for t in tiles), len(tests.item[i]), len(tiles)))
                 start = stop
@@ -164,14 +207,14 @@ def _search(handle, shortest: int):
 
 
 def leaks(
-    docs: DataFrame, doc: str, text: str, tests: DataFrame, item: str, passage: str, seed: int = 6, min_run: int = 12, min_coverage: float = 0.5,
+    docs: DataFrame, doc: str, text: str, tests: DataFrame, item: str, passage: str, seed: int = 8, shortest: int = 5, min_run: int = 12, min_coverage: float = 0.5,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Documents that give away test items: ``doc, item, longest, covered, n_words, tiles, coverage, leaked``.
 
     One row per pair of a document and an item that share ``seed`` consecutive words (any letters and digits, lower
-    case). ``longest`` is the longest common run of words, ``covered`` the item's words under tiles of at least ``seed``
-    words, which also catches passages in another order. ``leaked`` holds where the longest run has ``min_run`` words or
+    case). ``longest`` is the longest common run of words, ``covered`` the item's words under tiles of at least
+    ``shortest`` words, which also catches passages in another order. ``leaked`` holds where the longest run has ``min_run`` words or
     the coverage reaches ``min_coverage``. Null texts and ids give no rows; an id that occurs twice may give rows twice.
     """
     spark = docs.sparkSession
@@ -184,7 +227,7 @@ def leaks(
         # a block's size is bounded by block_chars, whatever the test set holds
         part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == k)
         handle = spark.sparkContext.broadcast(Tests([(r["i"], r["p"]) for r in part.collect()], seed))
-        found.append(d.mapInArrow(_search(handle, seed), "doc bigint, item bigint, longest int, covered int, n_words int, tiles int"))
+        found.append(d.mapInArrow(_search(handle, shortest), "doc bigint, item bigint, longest int, covered int, n_words int, tiles int"))
     out = union_all(found)
     coverage = F.col("covered") / F.col("n_words")
     return out.withColumns({"coverage": coverage, "leaked": (F.col("longest") >= min_run) | (coverage >= min_coverage)})
