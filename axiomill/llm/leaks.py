@@ -136,7 +136,7 @@ def _open(free: np.ndarray, k: int) -> np.ndarray:
     return (c[k:] - c[:-k]) == k
 
 
-class Tests:
+class ItemBlock:
     """One block of test items, ready to be looked up: word ids, and the items of each seed."""
 
     def __init__(self, items: list[tuple[int, str]], seed: int):
@@ -183,7 +183,7 @@ _OUT = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("longest", pa.int3
 
 def _search(handle, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests: Tests = handle.value
+        tests: ItemBlock = handle.value
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows, start = [], 0
@@ -226,7 +226,7 @@ def leaks(
     for k in range(blocks):
         # a block's size is bounded by block_chars, whatever the test set holds
         part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == k)
-        handle = spark.sparkContext.broadcast(Tests([(r["i"], r["p"]) for r in part.collect()], seed))
+        handle = spark.sparkContext.broadcast(ItemBlock([(r["i"], r["p"]) for r in part.collect()], seed))
         found.append(d.mapInArrow(_search(handle, shortest), "doc bigint, item bigint, longest int, covered int, n_words int, tiles int"))
     out = union_all(found)
     coverage = F.col("covered") / F.col("n_words")
