@@ -138,17 +138,18 @@ def pattern_wildcard(spark, d):
     return patterns.lookup(_st(spark, d), "(heldBy ?X ?Y)")
 
 
-@query(f"WITH {ST} SELECT sid, trim(el[2].val, {{ws}}) AS X, trim(el[3].val, {{ws}}) AS Y FROM sh WHERE head = 'boundTo' AND len(el) = 4 AND trim(el[2].val, {{ws}}) = trim(el[4].val, {{ws}}) AND el[2].kind = el[4].kind")
+@query(f"WITH {ST} SELECT sid, head AS P, trim(el[2].val, {{ws}}) AS X FROM sh WHERE head IS NOT NULL AND len(el) = 3 AND trim(el[2].val, {{ws}}) = trim(el[3].val, {{ws}}) AND el[2].kind = el[3].kind")
 def pattern_repeat_var(spark, d):
-    return patterns.lookup(_st(spark, d), "(boundTo ?X ?Y ?X)")
+    """Statements that relate something to itself."""
+    return patterns.lookup(_st(spark, d), "(?P ?X ?X)")
 
 
-@query(f"""WITH {ST} SELECT a.sid, trim(b.el[1].val, {{ws}}) AS P, trim(b.el[2].val, {{ws}}) AS X, trim(c.el[1].val, {{ws}}) AS Q FROM sh a
+@query(f"""WITH {ST} SELECT a.sid, trim(b.el[1].val, {{ws}}) AS P, trim(b.el[2].val, {{ws}}) AS X, trim(b.el[3].val, {{ws}}) AS Y, trim(c.el[1].val, {{ws}}) AS Q FROM sh a
 JOIN sh b ON b.sid = TRY_CAST(a.el[2].val AS BIGINT) JOIN sh c ON c.sid = TRY_CAST(a.el[3].val AS BIGINT)
-WHERE a.head = '=>' AND len(a.el) = 3 AND a.el[2].kind = 'sub' AND a.el[3].kind = 'sub' AND len(b.el) = 3 AND len(c.el) = 3 AND c.el[2].kind = b.el[2].kind AND trim(c.el[2].val, {{ws}}) = trim(b.el[2].val, {{ws}})""")
+WHERE a.head = '=>' AND len(a.el) = 3 AND a.el[2].kind = 'sub' AND a.el[3].kind = 'sub' AND len(b.el) = 3 AND len(c.el) = 3 AND c.el[2].kind = b.el[3].kind AND trim(c.el[2].val, {{ws}}) = trim(b.el[3].val, {{ws}})""")
 def pattern_nested(spark, d):
-    """Rules whose two sides share their first argument."""
-    return patterns.lookup(_st(spark, d), "(=> (?P ?X ?_) (?Q ?X ?_))")
+    """Rules that chain: the left side's last argument opens the right side."""
+    return patterns.lookup(_st(spark, d), "(=> (?P ?X ?Y) (?Q ?Y ?_))")
 
 
 @query(f"WITH {ST} SELECT sid, len(el) - 3 AS MORE, trim(el[2].val, {{ws}}) AS X, trim(el[len(el)].val, {{ws}}) AS LAST FROM sh WHERE head = 'groupedUnder' AND len(el) >= 3")

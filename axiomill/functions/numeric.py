@@ -15,7 +15,7 @@ def number_text(v: Column) -> Column:
     """Integers below 1e15 without a point; else at most ten decimals without trailing zeros."""
     whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
     tail = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", v), r"0+$", ""), r"\.$", "")
-    return F.when(whole, v.try_cast("bigint").cast("string")).otherwise(tail)
+    return F.when(whole, v.try_cast("bigint").cast("string")).when(v.isNotNull(), tail)
 
 
 def arithmetic(name: Column, x: Column, y: Column) -> Column:

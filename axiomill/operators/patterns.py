@@ -44,7 +44,7 @@ def _match(rows: DataFrame, st: DataFrame, pattern: Node, names: dict[str, str],
             if nxt is None:
                 at: Column = n - len(part)
             else:
-                fits = F.array_min(F.filter(F.sequence(start, n - len(part) - len(tail)), lambda i, part=part: _fits(part, i)))
+                fits = F.array_min(F.filter(F.sequence(start, n - len(part) - len(tail)), _fitter(part)))
                 at = F.when(start <= n - len(part) - len(tail), fits)
             col = f"_at{count[0]}"
             count[0] += 1
@@ -83,6 +83,10 @@ def _match(rows: DataFrame, st: DataFrame, pattern: Node, names: dict[str, str],
     return rows, names
 
 
+def _fitter(part: list[Node]):
+    return lambda i: _fits(part, i)
+
+
 def _fits(part: list[Node], i: Column) -> Column:
     """Whether a run of plain elements and wildcards stands at ``i`` (from 0)."""
     ok = F.lit(True)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from axiomill.functions.text import name_or_null
 from axiomill.operators.closure import closure, reach
+from axiomill.plans.cut import cut
 
 
 @dataclass(frozen=True)
@@ -38,11 +39,22 @@ def ancestors(e: DataFrame, rels: tuple[str, ...] | None = ("subclass",)) -> Dat
     return closure((e if rels is None else e.where(F.col("rel").isin(*rels))).select(F.col("child").alias("x"), F.col("parent").alias("y")))
 
 
-def has_ancestor(e: DataFrame, top: str) -> DataFrame:
-    """``node``: all that reach ``top`` over any link, itself included. Seeded downward from the one class."""
+def below(e: DataFrame, tops: list[str]) -> DataFrame:
+    """``top, node``: all that reach one of ``tops`` over any link, itself included. One walk down from all tops at once."""
     down = e.select(F.col("parent").alias("x"), F.col("child").alias("y"))
-    seed = e.sparkSession.createDataFrame([(top,)], "seed string")
-    return reach(down, seed).select("node").unionByName(seed.select(F.col("seed").alias("node"))).distinct()
+    seeds = e.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(tops)], "seed string")
+    return reach(down, seeds).select(F.col("seed").alias("top"), "node").unionByName(seeds.select(F.col("seed").alias("top"), F.col("seed").alias("node")))
+
+
+def has_ancestor(e: DataFrame, top: str) -> DataFrame:
+    """``node``: all that reach ``top`` over any link, itself included."""
+    return below(e, [top]).select("node").distinct()
+
+
+def marks(e: DataFrame, names: Names = Names()) -> DataFrame:
+    """``node, tops``: which of the classes in ``names`` lie at or above each node that has any."""
+    tops = [names.root, names.relation, names.predicate, names.function, *(c for c, _ in names.arities)]
+    return cut(below(e, tops).groupBy("node").agg(F.collect_set("top").alias("tops")), "marks").df
 
 
 def instances_of(e: DataFrame, cls: str) -> DataFrame:
@@ -70,25 +82,23 @@ def is_class(e: DataFrame, nodes: DataFrame) -> DataFrame:
     return got.withColumn("is_instance", ~F.col("is_class"))
 
 
-def kinds(e: DataFrame, nodes: DataFrame, names: Names = Names()) -> DataFrame:
+def kinds(e: DataFrame, nodes: DataFrame, names: Names = Names(), marked: DataFrame | None = None) -> DataFrame:
     """``node, is_class, is_relation, is_predicate, is_function, kinds``: instances below the relation classes."""
-    out = is_class(e, nodes)
+    out = is_class(e, nodes).join(marked if marked is not None else marks(e, names), "node", "left")
     for kind, top in (("relation", names.relation), ("predicate", names.predicate), ("function", names.function)):
-        below = has_ancestor(e, top).withColumn("b", F.lit(True))
-        out = out.join(below, "node", "left").withColumn(f"is_{kind}", F.coalesce("b", F.lit(False)) & F.col("is_instance")).drop("b")
+        out = out.withColumn(f"is_{kind}", F.coalesce(F.array_contains("tops", top), F.lit(False)) & F.col("is_instance"))
     labels = [F.when(F.col(f"is_{k}"), k) for k in ("class", "function", "predicate", "relation", "instance")]
-    return out.withColumn("kinds", F.array_compact(F.array(*labels)))
+    return out.drop("tops").withColumn("kinds", F.array_compact(F.array(*labels)))
 
 
-def arity(e: DataFrame, nodes: DataFrame, names: Names = Names()) -> DataFrame:
+def arity(e: DataFrame, nodes: DataFrame, names: Names = Names(), marked: DataFrame | None = None) -> DataFrame:
     """``node, arity`` of relations: the first of the arity classes, in order, that lies above; a function has one less;
     -1 for variable arity; null for what is no relation."""
-    out = kinds(e, nodes, names).select("node", "is_relation", "is_function")
+    marked = marked if marked is not None else marks(e, names)
+    out = kinds(e, nodes, names, marked).select("node", "is_relation", "is_function").join(marked, "node", "left")
     value = F.lit(None).cast("int")
     for cls, n in reversed(names.arities):
-        mark = f"_{cls}"
-        out = out.join(has_ancestor(e, cls).withColumn(mark, F.lit(True)), "node", "left")
-        value = F.when(F.col(mark), n).otherwise(value)
+        value = F.when(F.array_contains("tops", cls), n).otherwise(value)
     value = F.when(F.col("is_function") & (value > 0), value - 1).otherwise(value)
     return out.select("node", F.when(F.col("is_relation"), value).alias("arity"))
 

@@ -18,7 +18,7 @@ OPERATORS: dict[str, int | None] = {"and": None, "or": None, "not": 1, "=>": 2,
 
 _TOKEN = re.compile(
     r"""(?P<blank>\s+)|(?P<comment>;[^\n]*)|(?P<open>\()|(?P<close>\))|(?P<string>"(?:[^"\\]|\\.)*")|(?P<broken>")"""
-    r"""|(?P<row>@[^\s()";]+)|(?P<variable>\?[^\s()";]+)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?=[\s()";]|$))|(?P<symbol>[^\s()";]+)"""
+    r"""|(?P<row>@[^\s()";]+)|(?P<variable>\?[^\s()";]*)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?=[\s()";]|$))|(?P<symbol>[^\s()";]+)"""
 )
 
 
