@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from axiomill.plans.cut import cut
+from axiomill.plans.skew import union_all
 
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -30,32 +31,38 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return all_.df
 
 
+#: Links followed between two written steps of ``reach``.
+STRIDE = 4
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``(seed, node, hops)`` for what each of ``seeds`` (seed) reaches over ``edges`` (x, y), by the fewest links.
 
-    A seed isn't reached by itself, not even over a cycle: this is the built-in closure. One round per link of depth.
+    A seed isn't reached by itself, not even over a cycle: this is the built-in closure. A round follows STRIDE links and
+    is written once; only nodes first met at its last link are followed further.
     """
-    e = edges.select("x", "y").dropna().distinct()
+    e = cut(edges.select("x", "y").dropna().distinct(), "edges").df
     front = cut(seeds.select("seed").dropna().distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")), "front", n=F.count("*"))
     known = [front]
-    for k in range(1, max_rounds):
+    last = 0
+    for _ in range(max_rounds):
         if not known[-1].seen["n"]:
             break
-        step = known[-1].df.join(e, F.col("node") == F.col("x")).select("seed", F.col("y").alias("node"), F.lit(k).alias("hops")).distinct()
-        seen = known[0].df
-        for f in known[1:]:
-            seen = seen.unionByName(f.df)
-        known.append(cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"), "front", n=F.count("*")))
-        if len(known) > 12:
-            one = cut(seen.unionByName(known[-1].df).where(F.col("hops") < k), "reached")
-            one.seen = {"n": 1}
-            for f in known[:-1]:
+        level = known[-1].df.where(F.col("hops") == last)
+        levels = []
+        for _ in range(STRIDE):
+            level = level.join(e, F.col("node") == F.col("x")).select("seed", F.col("y").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+            levels.append(level)
+        last += STRIDE
+        step = union_all(levels).groupBy("seed", "node").agg(F.min("hops").alias("hops"))
+        seen = union_all([f.df for f in known]).select("seed", "node")
+        known.append(cut(step.join(seen, ["seed", "node"], "left_anti"), "front", n=F.count_if(F.col("hops") == last), all=F.count("*")))
+        if len(known) > 8:
+            one = cut(union_all([f.df for f in known]), "reached", n=F.count_if(F.col("hops") == last))
+            for f in known:
                 f.drop()
-            known = [one, known[-1]]
-    out = known[0].df
-    for f in known[1:]:
-        out = out.unionByName(f.df)
-    return out.where("hops > 0")
+            known = [one]
+    return union_all([f.df for f in known]).where("hops > 0")
 
 
 def reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def least_generality(use: DataFrame) -> DataFrame:
 
 def _weighed(use: DataFrame) -> DataFrame:
     u = use.select("sid", "symbol").dropna().distinct()
-    return u.join(generality(use), "symbol")
+    return u.join(u.groupBy("symbol").agg(F.count("*").alias("occ")), "symbol")
 
 
 def costs(use: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def select(use: DataFrame, seeds: DataFrame, tolerance: float = 1.2, depth: int
     """
     if depth == 0:
         return use.sparkSession.createDataFrame([], "sid bigint, wave int")
-    edges = cut(costs(use).where(F.col("cost") <= max(1.0, tolerance)).select("sid", "symbol"), "triggers")
     held = cut(use.select("sid", "symbol").dropna().distinct(), "uses")
+    edges = cut(costs(held.df).where(F.col("cost") <= max(1.0, tolerance)).select("sid", "symbol"), "triggers")
     front, n = seeds.select("symbol").dropna().distinct(), 0
     taken: DataFrame | None = None
     known_symbols = front
@@ -72,6 +72,7 @@ def activation(use: DataFrame, seeds: DataFrame, top: float = MAX_TOLERANCE) ->
 
     A minimax path: relaxation rounds that join only what got cheaper in the last one.
     """
+    use = cut(use.select("sid", "symbol").dropna().distinct(), "uses").df
     c = cut(costs(use).where(F.col("cost") <= top), "costs")
     got: DataFrame | None = None
     front = seeds.select("symbol").dropna().distinct().withColumn("t", F.lit(1.0))
@@ -84,7 +85,7 @@ def activation(use: DataFrame, seeds: DataFrame, top: float = MAX_TOLERANCE) ->
         if not new.seen["n"]:
             return got if got is not None else new.df
         got = new.df if got is None else cut(got.unionByName(new.df).groupBy("sid").agg(F.min("t").alias("t")), "activation").df
-        sym = use.select("sid", "symbol").dropna().distinct().join(new.df, "sid").groupBy("symbol").agg(F.min("t").alias("t"))
+        sym = use.join(new.df, "sid").groupBy("symbol").agg(F.min("t").alias("t"))
         sym = sym.join(best.withColumnRenamed("t", "was"), "symbol", "left").where("was is null or t < was").select("symbol", "t")
         front = cut(sym, "cheaper").df
         best = cut(best.unionByName(front).groupBy("symbol").agg(F.min("t").alias("t")), "best").df

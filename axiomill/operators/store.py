@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from axiomill.functions.text import clean
+from axiomill.plans.cut import cut
+from axiomill.plans.skew import union_all
 
 # Bookkeeping heads that say nothing to a prover.
 EXCLUDED_HEADS = (
@@ -74,20 +76,19 @@ def real_symbol(c: Column) -> Column:
 
 
 def roots_of(st: DataFrame, found: DataFrame) -> DataFrame:
-    """``sid, root``: the top-level statement around each of ``found`` (sid). Nesting is followed up by doubling-free
-    steps, one per level of nesting; statements share no levels with one another, so a round is one equi-join."""
-    up = st.select("sid", F.explode("parent").alias("up"))
-    now, done = found.select("sid", F.col("sid").alias("at")), []
+    """``sid, root``: the top-level statement around each of ``found`` (sid); one equi-join per level of nesting.
+
+    A statement nested in several gets a row for each; one whose parents can't be found stands for itself.
+    """
+    up = cut(st.select(F.col("sid").alias("at"), F.explode("parent").alias("up")).where("up is not null"), "parents").df
+    front = cut(found.select("sid", F.col("sid").alias("at")).distinct(), "roots", n=F.count("*"))
+    done: list[DataFrame] = []
     for _ in range(64):
-        step = now.join(up.withColumnRenamed("sid", "at"), "at", "left")
-        done.append(step.where("up is null").select("sid", F.col("at").alias("root")))
-        now = step.where("up is not null").select("sid", F.col("up").alias("at")).distinct()
-        if now.isEmpty():
+        if not front.seen["n"]:
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.distinct()
+        done.append(front.df.join(up, "at", "left_anti").select("sid", F.col("at").alias("root")))
+        front = cut(front.df.join(up, "at").select("sid", F.col("up").alias("at")).distinct(), "roots", n=F.count("*"))
+    return union_all(done).distinct() if done else found.select("sid", F.col("sid").alias("root"))
 
 
 def defining_sentence(st: DataFrame) -> DataFrame:
