@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from axiomill.functions import numeric
 from axiomill.functions.text import clean
-from axiomill.operators import closure, events, patterns, search, sine, store, taxonomy
+from axiomill.operators import closure, events, introspect, patterns, search, sine, store, taxonomy
 from axiomill.plans import datalog
+from axiomill.plans.prefix import running_last
 from axiomill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +131,29 @@ def kb_roots(spark, d):
     return store.roots_of(st, st.select("sid"))
 
 
+@query(f"""WITH RECURSIVE {ST}, i AS (SELECT sid AS top, 0 AS depth, sid FROM st UNION SELECT i.top, i.depth + 1, TRY_CAST(x.val AS BIGINT) FROM i JOIN x ON x.sid = i.sid AND x.kind = 'sub' WHERE TRY_CAST(x.val AS BIGINT) IS NOT NULL)
+SELECT top AS sid, max(depth) AS depth, count(x.pos) FILTER (x.kind <> 'sub') AS size, count(*) FILTER (x.kind = 'variable') = 0 AS is_ground FROM i LEFT JOIN x ON x.sid = i.sid GROUP BY top""")
+def kb_term_sizes(spark, d):
+    """Depth, size and groundness of every statement with all that is nested in it."""
+    return introspect.term_facts(_st(spark, d)).select("sid", "depth", "size", "is_ground")
+
+
+@query(f"WITH {ST} SELECT args[1] AS node, rel AS class_evidence, count(*) AS n FROM fa WHERE rel IN ('heldBy', 'boundTo', 'observedDuring') AND len(args) >= 2 GROUP BY ALL")
+def kb_usage_evidence(spark, d):
+    """In which relations a symbol stands first, the raw evidence for its class."""
+    f = _facts(spark, d).where(F.col("rel").isin("heldBy", "boundTo", "observedDuring") & (F.size("args") >= 2))
+    return f.groupBy(F.get("args", F.lit(0)).alias("node"), F.col("rel").alias("class_evidence")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {USE}, gone AS (SELECT sid FROM sh WHERE file = 'kb/midlevel_core.kif'), u AS (SELECT symbol, count(*) AS occ FROM us WHERE sid NOT IN (SELECT sid FROM gone) GROUP BY symbol) SELECT symbol, occ FROM u""")
+def sine_generality_after_removal(spark, d):
+    """Generality kept up incrementally when one file's statements go."""
+    st = _st(spark, d)
+    use = store.occurrences(st.where(store.is_root())).select("sid", "symbol").distinct()
+    gone = use.join(st.where("file = 'kb/midlevel_core.kif'").select("sid"), "sid", "left_semi")
+    return sine.update_generality(sine.generality(use), removed=gone)
+
+
 # --- patterns ---------------------------------------------------------------------------------------------------------
 
 
@@ -178,13 +202,13 @@ def tax_is_class(spark, d):
     return taxonomy.is_class(e, e.select(F.col("child").alias("node")).union(e.select("parent")))
 
 
-@query(f"""WITH RECURSIVE {TAX}, k AS (SELECT DISTINCT parent AS node FROM ed GROUP BY parent HAVING count(*) >= 10),
+@query(f"""WITH RECURSIVE {TAX}, k AS (SELECT DISTINCT parent AS node FROM ed GROUP BY parent HAVING count(*) >= 2),
 u AS (SELECT child AS seed, child AS node, 0 AS hops FROM (SELECT DISTINCT child FROM ed WHERE rel = 'subAttribute') UNION SELECT u.seed, e.parent, u.hops + 1 FROM u JOIN ed e ON e.child = u.node WHERE u.hops < 1000)
 SELECT seed AS node, node AS ancestor, hops FROM u WHERE node IN (SELECT node FROM k) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hops, node) = 1""")
 def tax_nearest_ancestor(spark, d):
-    """The nearest wide symbol (ten or more links below) above each attribute."""
+    """The nearest symbol with several links below it above each attribute."""
     e = _edges(spark, d)
-    wide = e.groupBy(F.col("parent").alias("node")).count().where("count >= 10").select("node")
+    wide = e.groupBy(F.col("parent").alias("node")).count().where("count >= 2").select("node")
     return taxonomy.nearest_ancestor(e, e.where("rel = 'subAttribute'").select(F.col("child").alias("node")), wide)
 
 
@@ -396,15 +420,16 @@ SELECT event_id, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY user_id
 def ec_holds_state(spark, d):
     """Inertia: whether a user's state, begun by a signup and ended by an error, holds at each of their events."""
     e = table(spark, d, "events").withColumn("t", F.when(F.col("event_type") == "signup", True).when(F.col("event_type") == "error", False))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return e.select("event_id", F.coalesce(F.last("t", ignorenulls=True).over(w), F.lit(False)).alias("holds"))
+    # days are the buckets, so that a user with very many events takes one task a day
+    e = e.select("user_id", "ts", "event_id", "t", F.coalesce(F.date_trunc("day", "ts"), F.lit("1970-01-01").cast("timestamp")).alias("day"))
+    return running_last(e, ["user_id"], "day", ["ts", "event_id"], "t", "on").select("event_id", F.coalesce("on", F.lit(False)).alias("holds"))
 
 
-@query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS c, o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders WHERE o_custkey % 50 = 0)
+@query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS c, o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders)
 SELECT 'E:' || a.k AS x, 'B:' || b.k AS y FROM o a JOIN o b ON a.c = b.c AND a.i < b.i""")
 def temporal_before_closure(spark, d):
     """Orders of a customer as intervals, each earlier than the next: which ends lie strictly before which beginnings."""
-    o = table(spark, d, "orders").where("o_custkey % 50 = 0")
+    o = table(spark, d, "orders")
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     rel = o.select(F.lit("earlier").alias("rel"), F.col("o_orderkey").cast("string").alias("i"), F.lead("o_orderkey").over(w).cast("string").alias("j")).where("j is not null")
     c = events.temporal_closure(events.network(rel))
@@ -429,12 +454,12 @@ def num_arith_fold(spark, d):
     return p.select("p_partkey", v.alias("v"), numeric.comparison(F.lit("greaterThan"), F.col("p_retailprice"), F.col("p_size") * 40.0).alias("gt"))
 
 
-@query("SELECT lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS body, count(*) AS n, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT md5(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS fp, count(*) AS n, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dedup_fingerprint(spark, d):
     """Texts delivered more than once, by the digest of their normalised form."""
     body = F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", body.alias("body"))
-    return rows.groupBy(F.sha2("body", 256).alias("fp")).agg(F.min("body").alias("body"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1").select("body", "n", "doc_id")
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(body).alias("fp"))
+    return rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
 
 
 # --- ingest and runs --------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from axiomill.plans.cut import cut
+from axiomill.plans.skew import union_all
 
 # Slack of the trigger's comparison, and the largest tolerance that is tried.
 EPSILON = 0.001
@@ -19,6 +20,16 @@ def generality(use: DataFrame) -> DataFrame:
     return use.select("sid", "symbol").dropna().distinct().groupBy("symbol").agg(F.count("*").alias("occ"))
 
 
+def update_generality(occ: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """``symbol, occ`` after axioms came (``added``) and went (``removed``), both (sid, symbol) of axioms not counted yet or
+    counted so far. Work is in proportion to the changes and the vocabulary, not to the base."""
+    parts = [occ.select("symbol", "occ")]
+    for use, sign in ((added, 1), (removed, -1)):
+        if use is not None:
+            parts.append(generality(use).select("symbol", (F.col("occ") * sign).alias("occ")))
+    return union_all(parts).groupBy("symbol").agg(F.sum("occ").alias("occ")).where("occ > 0")
+
+
 def least_generality(use: DataFrame) -> DataFrame:
     """``sid, g_min``: the least generality among an axiom's symbols."""
     return _weighed(use).groupBy("sid").agg(F.min("occ").alias("g_min"))

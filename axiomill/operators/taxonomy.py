@@ -122,6 +122,22 @@ def argument_sorts(facts: DataFrame) -> DataFrame:
     return got.select(F.col("r").alias("rel"), "pos", F.when(~unknown, F.col("b.class")).alias("class"), F.when(~unknown, F.col("b.is_subclass")).alias("is_subclass"))
 
 
+def sort_annotations(sorts: DataFrame) -> DataFrame:
+    """``rel, sorts``: a map from position to class for each relation; as many entries as it has places."""
+    known = sorts.where("class is not null")
+    return known.groupBy("rel").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pos", "class")))).alias("sorts"))
+
+
+def evidence(e: DataFrame, facts: DataFrame, sorts: DataFrame) -> DataFrame:
+    """``node, class``: what speaks for a symbol's classes: its instance links, instance facts, and the declared classes
+    of the places it fills. Feed it to ``most_specific``."""
+    links = e.where("rel = 'instance'").select(F.col("child").alias("node"), F.col("parent").alias("class"))
+    told = facts.where((F.col("rel") == "instance") & (F.size("args") == 2)).select(F.get("args", F.lit(0)).alias("node"), F.get("args", F.lit(1)).alias("class"))
+    places = facts.select("rel", F.posexplode("args").alias("i", "node")).select("rel", (F.col("i") + 1).alias("pos"), "node")
+    filled = places.join(sorts.where("class is not null and not is_subclass"), ["rel", "pos"]).select("node", "class")
+    return links.unionByName(told).unionByName(filled).distinct()
+
+
 def disjoint_pairs(facts: DataFrame) -> DataFrame:
     """``a, b`` with a < b: declared disjoint, or parts of one partition or disjoint decomposition.
 

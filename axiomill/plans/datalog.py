@@ -359,6 +359,15 @@ def answer(spark: SparkSession, p: Program, facts: dict[str, DataFrame], goal: A
     return bind(evaluate(spark, rewritten, held, max_tuples)[g.pred], g).distinct()
 
 
+def witness(spark: SparkSession, body: str, facts: dict[str, DataFrame]) -> dict[str, str] | None:
+    """One binding of a conjunction such as ``p(?X, ?Y), q(?Y)`` over stored facts, or None."""
+    names = sorted({v for m in _ATOM.finditer(body) for v in Atom(m[2], tuple(a.strip() for a in m[3].split(","))).vars})
+    p = parse(f"goal({', '.join(names) or 'yes'}) :- {body}.")
+    check_safety(p)
+    row = fire(p.rules[0], facts).first()
+    return None if row is None else dict(zip(names, row))
+
+
 def cite(model: dict[str, DataFrame], pred: str, args: tuple[str, ...], limit: int = 10_000) -> list[tuple[str, str, tuple[str, ...]]]:
     """Derivation of one fact: (rule or '', predicate, arguments), stored facts first. Empty for an unknown fact.
 

@@ -18,3 +18,20 @@ def running_sum(df: DataFrame, groups: list[str], bucket: str, order: list[str],
     within = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = df.withColumn("_local", F.sum(value).over(within))
     return local.join(sums, keys).withColumn(out, F.col("_before") + F.col("_local")).drop("_before", "_local")
+
+
+def running_last(df: DataFrame, groups: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the last non-null ``value`` strictly before the row, within ``groups`` by (``bucket``, ``order``).
+
+    As with sums, a task holds one bucket's rows, or one row per bucket of a group. ``bucket`` must not be null.
+    """
+    keys = [*groups, bucket]
+    ends = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    marks = df.select(*keys).distinct()
+    marks = marks.join(ends.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    earlier = W.partitionBy(*groups).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    marks = marks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    within = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = df.withColumn("_local", F.last(value, ignorenulls=True).over(within))
+    both = local.join(marks, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return both.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_before", *[f"_{k}" for k in keys])

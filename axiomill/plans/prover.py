@@ -195,6 +195,101 @@ def subsumes(a: tuple, b: tuple) -> bool:
     return len(a) <= len(b) and go(0, {})
 
 
+# --- equality ---------------------------------------------------------------------------------------------------------
+
+
+def _count_vars(t: Term, out: dict | None = None) -> dict:
+    out = {} if out is None else out
+    if _var(t):
+        out[t[0]] = out.get(t[0], 0) + 1
+    for x in t[1:]:
+        _count_vars(x, out)
+    return out
+
+
+def greater(a: Term, b: Term) -> bool:
+    """Knuth-Bendix order with weight one per symbol and precedence by name."""
+    if a == b or _var(a):
+        return False
+    va, vb = _count_vars(a), _count_vars(b)
+    if any(va.get(v, 0) < n for v, n in vb.items()):
+        return False
+    if _size(a) != _size(b):
+        return _size(a) > _size(b)
+    if _var(b):
+        return True
+    if a[0] != b[0]:
+        return a[0] > b[0]
+    for x, y in zip(a[1:], b[1:]):
+        if x != y:
+            return greater(x, y)
+    return len(a) > len(b)
+
+
+def _match(x: Term, y: Term, s: dict) -> dict | None:
+    if _var(x):
+        return (s if s[x[0]] == y else None) if x[0] in s else s | {x[0]: y}
+    if x[0] != y[0] or len(x) != len(y):
+        return None
+    for p, q in zip(x[1:], y[1:]):
+        s = _match(p, q, s)
+        if s is None:
+            return None
+    return s
+
+
+def _fill(t: Term, s: dict) -> Term:
+    return s.get(t[0], t) if len(t) == 1 else (t[0], *(_fill(x, s) for x in t[1:]))
+
+
+def demodulate(t: Term, units: list[tuple[Term, Term]]) -> Term:
+    """Normal form of a term under unit equations, applied only where they make it smaller."""
+    for _ in range(1000):
+        if len(t) > 1:
+            t = (t[0], *(demodulate(x, units) for x in t[1:]))
+        for left, right in units:
+            s = _match(left, t, {})
+            if s is not None and greater(t, new := _fill(right, s)):
+                t = new
+                break
+        else:
+            return t
+    return t
+
+
+def _subterms(t: Term, path: tuple[int, ...] = ()):
+    if not _var(t):
+        yield path, t
+        for i, x in enumerate(t[1:], 1):
+            yield from _subterms(x, (*path, i))
+
+
+def _put(t: Term, path: tuple[int, ...], new: Term) -> Term:
+    return new if not path else (*t[: path[0]], _put(t[path[0]], path[1:], new), *t[path[0] + 1 :])
+
+
+def paramodulants(a: tuple, b: tuple):
+    """Clauses from using a positive equation of clause ``a`` inside clause ``b``, larger side first."""
+    for i, (p, e) in enumerate(a):
+        if not p or e[0] != "equal" or len(e) != 3:
+            continue
+        for left, right in ((e[1], e[2]), (e[2], e[1])):
+            if _var(left) or greater(right, left):
+                continue
+            for j, (q, t) in enumerate(b):
+                for path, sub in _subterms(t):
+                    if path and (s := unify(left, sub, {})) is not None and not greater(_apply(right, s), _apply(left, s)):
+                        rest = [x for k, x in enumerate(a) if k != i] + [x for k, x in enumerate(b) if k != j]
+                        yield [(q, _apply(_put(t, path, right), s)), *((r, _apply(x, s)) for r, x in rest)]
+
+
+def equality_resolvents(lits: tuple):
+    """Clauses without one inequation whose sides unify."""
+    for i, (p, t) in enumerate(lits):
+        if not p and t[0] == "equal" and len(t) == 3 and (s := unify(t[1], t[2], {})) is not None:
+            yield [(q, _apply(x, s)) for k, (q, x) in enumerate(lits) if k != i]
+
+
 def prove(axioms: list[Node], conjecture: Node | None, max_steps: int = 4000, max_literals: int = 8) -> Result:
     """Proved when the axioms and the denied conjecture contradict each other; Disproved when nothing more follows;
     Unknown when the steps run out or a clause had to be left out. The steps of a proof come in order."""
@@ -207,10 +302,13 @@ def prove(axioms: list[Node], conjecture: Node | None, max_steps: int = 4000, ma
     store: list[Clause] = []
     queue: list[tuple[int, int]] = []
     known: set = set()
+    units: list[tuple[Term, Term]] = []
     lost = False
 
     def add(lits, parents, rule) -> int | None:
         nonlocal lost
+        if units:
+            lits = [(p, (t[0], *(demodulate(x, units) for x in t[1:]))) for p, t in lits]
         lits = _canonical(lits)
         if any((not p, t) in lits for p, t in lits) or lits in known:
             return None
@@ -250,8 +348,17 @@ def prove(axioms: list[Node], conjecture: Node | None, max_steps: int = 4000, ma
         for i, j in itertools.combinations(range(len(given)), 2):
             if given[i][0] == given[j][0] and (s := unify(given[i][1], given[j][1], {})) is not None:
                 add([(p, _apply(t, s)) for n, (p, t) in enumerate(given) if n != j], (g,), "factor")
+        for new in equality_resolvents(given):
+            if (k := add(new, (g,), "equality resolution")) is not None:
+                return Result("Proved", proof(k), len(store))
         active.append(g)
         left = _rename(given, "'")
+        if len(given) == 1 and given[0][0] and given[0][1][0] == "equal" and len(given[0][1]) == 3:
+            units += [(x, y) for x, y in (given[0][1][1:], given[0][1][:0:-1]) if greater(x, y)]
+        for i in active:
+            for new in itertools.chain(paramodulants(left, store[i].literals), paramodulants(store[i].literals, left) if i != g else ()):
+                if (k := add(new, (g, i), "paramodulation")) is not None:
+                    return Result("Proved", proof(k), len(store))
         for i in active:
             for (m, (p, a)), (n, (q, b)) in itertools.product(enumerate(left), enumerate(store[i].literals)):
                 if p != q and a[0] == b[0] and (s := unify(a, b, {})) is not None:

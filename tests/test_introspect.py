@@ -90,3 +90,21 @@ def test_beliefs(spark):
     kif = spark.createDataFrame(list(enumerate(rows)), "sid bigint, kif string")
     assert sorted(r["kif"] for r in beliefs(kif, "Ann").collect()) == ["(not (not (not (p A))))", "(p A)"]
     assert {(r["agent"], r["kif"]) for r in belief_conflicts(kif).collect()} == {("Ann", "(p A)"), ("Ann", "(not (p A))")}
+
+
+def test_evidence_annotations_and_updates(spark):
+    from axiomill.operators import sine
+    from axiomill.plans.datalog import witness
+
+    st = store.statements(kb(spark, "(likes Bob Rex) (domain likes 1 Human) (domain likes 2 Animal) (instance Rex Human)"))
+    f = store.facts(st).cache()
+    s = taxonomy.argument_sorts(f)
+    e = edges(spark, *BASE)
+    got = {r["node"]: r["classes"] for r in taxonomy.most_specific(e, taxonomy.evidence(e, f, s).where("node in ('Bob', 'Rex')")).collect()}
+    assert got == {"Bob": ["Human"], "Rex": ["Human"]}
+    assert taxonomy.sort_annotations(s).first()["sorts"] == {1: "Human", 2: "Animal"}
+    use = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "sid bigint, symbol string")
+    new = sine.update_generality(sine.generality(use), added=spark.createDataFrame([(3, "b"), (3, "c")], "sid bigint, symbol string"), removed=use.where("sid = 2"))
+    assert {r["symbol"]: r["occ"] for r in new.collect()} == {"a": 1, "b": 2, "c": 1}
+    facts = {"p": spark.createDataFrame([("x", "y"), ("u", "v")], "a0 string, a1 string"), "q": spark.createDataFrame([("v",)], "a0 string")}
+    assert witness(spark, "p(?X, ?Y), q(?Y)", facts) == {"?X": "u", "?Y": "v"} and witness(spark, "p(?X, ?X)", facts) is None

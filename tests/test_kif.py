@@ -121,3 +121,30 @@ def test_prover():
     assert prove([one("(p a)"), one("(not (p a))")], None).status == "Proved"
     assert prove([one("(=> (n ?X) (n (s ?X)))"), one("(n zero)")], one("(q zero)"), max_steps=30).status == "Unknown"
     assert subsumes(((True, ("p", ("?0",))),), ((True, ("p", ("a",))), (False, ("q",)))) and not subsumes(((True, ("p", ("a",))),), ((True, ("p", ("?0",))),))
+
+
+def test_equality_in_the_prover():
+    from axiomill.plans.prover import demodulate, greater
+
+    x, a, f = ("?x",), ("a",), lambda t: ("f", t)
+    assert greater(f(x), x) and not greater(x, f(x)) and not greater(f(x), ("?y",)) and greater(f(f(a)), f(a))
+    assert demodulate(f(f(f(a))), [(f(f(x)), x)]) == f(a)
+    given = [one("(equal (f ?X) ?X)"), one("(p (f (f b)))")]
+    assert prove(given, one("(p b)")).status == "Proved"
+    assert prove([one("(equal Tully Cicero)"), one("(orator Tully)")], one("(orator Cicero)")).status == "Proved"
+    assert prove([one("(not (equal a b))")], one("(equal a b)")).status in ("Disproved", "Unknown")
+    assert prove([one("(=> (q ?X) (equal ?X c))"), one("(q d)"), one("(r c)")], one("(r d)")).status == "Proved"
+    assert prove([], one("(equal a a)")).status == "Proved"
+
+
+def test_rewrites_for_provers():
+    from axiomill.plans.rewrite import domain_guards, instantiate, predicate_variables
+
+    sorts, above = {("likes", 1): "Human", ("likes", 2): "Entity", ("old", 1): "Animal"}, {"Human": {"Animal", "Entity"}}
+    assert emit(domain_guards(one("(=> (likes ?X ?Y) (old ?X))"), sorts, above)) == "(=> (and (instance ?X Human) (likes ?X ?Y)) (old ?X))"
+    assert emit(domain_guards(one("(old ?X)"), sorts, above)) == "(=> (instance ?X Animal) (old ?X))"
+    assert emit(domain_guards(one("(exists (?X) (old ?X))"), sorts, above)) == "(exists (?X) (old ?X))"
+    f = one("(=> (?R ?A ?B) (?R ?B ?A))")
+    assert predicate_variables(f) == ["?R"]
+    assert texts(instantiate(f, {2: ["q", "p"], 1: ["z"]})) == ["(=> (p ?A ?B) (p ?B ?A))", "(=> (q ?A ?B) (q ?B ?A))"]
+    assert len(instantiate(f, {2: [f"r{i}" for i in range(50)]})) == 32 and instantiate(one("(p ?A)"), {}) == [one("(p ?A)")]

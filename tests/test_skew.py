@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axiomill.operators.hotkeys import head, hot_keys, key_statistics
-from axiomill.plans.prefix import running_sum
+from axiomill.plans.prefix import running_last, running_sum
 from axiomill.plans.skew import salted_join
 
 
@@ -49,3 +49,16 @@ def test_running_sum(spark):
             assert got[g, i] == t
     one = {r["i"]: r["s"] for r in running_sum(df.where("g = 'a'"), [], "b", ["i"], "v", "s").collect()}
     assert one[49] == sum(i % 3 for i in range(50))
+
+
+def test_running_last(spark):
+    rows = [(g, i // 5, i, (i % 7 == 3) if i % 3 == 0 else None) for g in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, b int, i int, v boolean")
+    got = {(r["g"], r["i"]): r["o"] for r in running_last(df, ["g"], "b", ["i"], "v", "o").collect()}
+    assert len(got) == 80
+    for g in ("a", None):
+        held = None
+        for i in range(40):
+            assert got[g, i] == held
+            if i % 3 == 0:
+                held = i % 7 == 3
