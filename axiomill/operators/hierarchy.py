@@ -23,7 +23,7 @@ from axiomill.functions.text import name_or_null
 from axiomill.plans.cut import Cut, cut
 from axiomill.plans.skew import HOT_KEYS, salted_join
 
-SEGMENT = "array<struct<chain:string,upto:bigint>>"
+SEGMENT = "array<struct<chain:bigint,upto:bigint>>"
 
 
 def parent_links(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -123,18 +123,24 @@ def hierarchy(edges: DataFrame, child: str, parent: str) -> DataFrame:
 
     ``state`` is ``tree``, ``cycle`` (on one; a self-link is one) or ``below_cycle``; outside trees all later columns are
     null. ``depth`` counts the links up to ``root`` (0 for the root itself). The node is the ``pos``-th (from 0) of
-    ``chain``; above it the path runs through ``segs``, nearest first: the nodes 0 to ``upto`` of each chain.
+    ``chain``; above it the path runs through ``segs``, nearest first: the nodes 0 to ``upto`` of each chain. Chains are
+    numbered within one result.
 
     Null or blank endpoints are ignored, repeats and other columns have no effect, an empty table gives no rows.
     """
     links = cut(parent_links(edges, child, parent), "links", n=F.count("*"))
     fans = links.df.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
-    nodes = cut(links.df.join(fans, "node", "full"), "nodes")
+    names = cut(links.df.join(fans, "node", "full").withColumn("id", F.monotonically_increasing_id()), "names")
+    n = links.seen["n"]
     links.drop()
-    inner = nodes.df.where("kids is not null").select("node", "parent")
-    leaves = nodes.df.where("kids is null").select("node", "parent")
-
-    sizes, left = _sizes(inner, leaves)
+    # the loops run on numbers: names come back once, at the end
+    hot = names.df.where(F.col("kids") > n / HOT_KEYS)
+    above = names.df.select(F.col("node").alias("parent"), F.col("id").alias("up"))
+    nodes = cut(salted_join(names.df, above, "parent", hot.select(F.col("node").alias("parent")), "left"), "nodes")
+    inner = nodes.df.where("kids is not null").select(F.col("id").alias("node"), F.col("up").alias("parent"))
+    leaves = nodes.df.where("kids is null").select("node", "parent", "id", "up")
+
+    sizes, left = _sizes(inner, leaves.select(F.col("up").alias("parent")))
     loop = None
     if left:
         loop = _on_cycle(sizes.df.where("jump is not null").select("node", "jump"))
@@ -143,43 +149,43 @@ def hierarchy(edges: DataFrame, child: str, parent: str) -> DataFrame:
     placed = _chains(tree.df)
     # a chain's top node knows the node above it, whose chain and place are where the chain hangs
     tops = placed.df.where("pos = 0").select("node").join(tree.df.select("node", "parent"), "node")
-    above = placed.df.select(F.col("node").alias("parent"), F.col("chain").alias("over"), F.col("pos").alias("upto"))
-    hung = tops.join(above, "parent", "left").select(F.col("node").alias("chain"), "over", "upto")
+    over = placed.df.select(F.col("node").alias("parent"), F.col("chain").alias("over"), F.col("pos").alias("upto"))
+    hung = tops.join(over, "parent", "left").select(F.col("node").alias("chain"), "over", "upto")
     segs = _segments(hung)
 
     whole = (
         tree.df.join(placed.df, "node")
         .join(segs.df.select("chain", "segs"), "chain")
-        .withColumn("root", F.coalesce(F.try_element_at("segs", F.lit(-1)).getField("chain"), "chain"))
+        .withColumn("top", F.coalesce(F.try_element_at("segs", F.lit(-1)).getField("chain"), "chain"))
         .withColumn("depth", F.aggregate("segs", F.col("pos"), lambda a, s: a + s["upto"] + 1))
-        .select("node", "parent", F.lit("tree").alias("state"), "root", "depth", (F.col("size") - 1).cast("long").alias("n_descendants"), "chain", "pos", "segs")
+        .select(F.col("node").alias("id"), F.lit("tree").alias("state"), "top", "depth", (F.col("size") - 1).cast("long").alias("n_descendants"), "chain", "pos", "segs")
     )
-    inner_rows = whole
     if left:
-        off = sizes.df.where("jump is not null").select("node").join(inner, "node")
-        ring = loop.df.withColumn("ring", F.lit(True))
-        nothing = {"root": "string", "depth": "bigint", "n_descendants": "bigint", "chain": "string", "pos": "bigint", "segs": SEGMENT}
-        off = off.join(ring, "node", "left").select(
-            "node", "parent", F.when(F.col("ring"), "cycle").otherwise("below_cycle").alias("state"),
-            *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()],
+        ring = loop.df.select(F.col("node").alias("id"), F.lit(True).alias("ring"))
+        nothing = {"top": "bigint", "depth": "bigint", "n_descendants": "bigint", "chain": "bigint", "pos": "bigint", "segs": SEGMENT}
+        off = sizes.df.where("jump is not null").select(F.col("node").alias("id")).join(ring, "id", "left").select(
+            "id", F.when(F.col("ring"), "cycle").otherwise("below_cycle").alias("state"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()]
         )
-        inner_rows = whole.unionByName(off)
-    done = cut(inner_rows, "inner")
+        whole = whole.unionByName(off)
+    placed_all = cut(whole, "inner")
+    top = placed_all.df.where("id = top").select("top", "n_descendants").join(nodes.df.select(F.col("id").alias("top"), F.col("node").alias("root")), "top")
+    few = top.where(F.col("n_descendants") > n / HOT_KEYS).select("top")
+    rooted = salted_join(placed_all.df, top.select("top", "root"), "top", few, "left")
+    done = cut(rooted.join(nodes.df.select("id", "node", "parent"), "id"), "done")
     up = done.df.select(
-        F.col("node").alias("parent"), F.col("state").alias("s"), F.col("root"), F.col("depth").alias("d"),
-        F.col("chain").alias("c"), F.col("pos").alias("p"), F.col("segs").alias("g"),
-    )
+        F.col("id").alias("up"), F.col("state").alias("s"), F.col("root"), F.col("depth").alias("d"), F.col("chain").alias("c"), F.col("pos").alias("p"), F.col("segs").alias("g"),
+    )
     good = F.col("s") == "tree"
     own = F.array(F.struct(F.col("c").alias("chain"), F.col("p").alias("upto"))).cast(SEGMENT)
-    hot = nodes.df.where(F.col("kids") > links.seen["n"] / HOT_KEYS).select(F.col("node").alias("parent"))
-    ends = salted_join(leaves, up, "parent", hot).select(
+    ends = salted_join(leaves, up, "up", hot.select(F.col("id").alias("up"))).select(
         "node", "parent", F.when(good, "tree").otherwise("below_cycle").alias("state"), "root", (F.col("d") + 1).alias("depth"),
-        F.when(good, 0).cast("long").alias("n_descendants"), F.when(good, F.col("node")).alias("chain"),
+        F.when(good, 0).cast("long").alias("n_descendants"), F.when(good, F.col("id")).alias("chain"),
         F.when(good, 0).cast("long").alias("pos"), F.when(good, F.concat(own, "g")).alias("segs"),
-    )
-    for c in (sizes, tree, placed, segs, *([loop] if loop else [])):
+    )
+    for c in (sizes, tree, placed, segs, placed_all, *([loop] if loop else [])):
         c.drop()
-    return done.df.unionByName(ends)
+    columns = ["node", "parent", "state", "root", "depth", "n_descendants", "chain", "pos", "segs"]
+    return done.df.select(*columns).unionByName(ends.select(*columns))
 
 
 def paths(h: DataFrame) -> DataFrame:
