@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from axiomill.plans.cut import cut
+from axiomill.plans.prefix import running_last
 
 
 def toggles(happens: DataFrame, effects: DataFrame) -> DataFrame:
@@ -22,17 +23,18 @@ def toggles(happens: DataFrame, effects: DataFrame) -> DataFrame:
     return ok.groupBy("fluent", "time").agg(F.max((F.col("kind") == "initiates").cast("int")).cast("boolean").alias("on"))
 
 
-def holds_at(happens: DataFrame, effects: DataFrame, times: DataFrame, fluents: DataFrame) -> DataFrame:
-    """``fluent, time, holds`` on the grid of ``times`` and ``fluents``: the last toggle before the time, else false.
+def holds_at(happens: DataFrame, effects: DataFrame, cells: DataFrame, days: Column | None = None) -> DataFrame:
+    """``fluent, time, holds`` for the asked ``cells`` (fluent, time): the last toggle before the time, else false.
 
-    A window per fluent over its toggles and the time points; a fluent's points are as many as there are times.
+    Toggles and asked times are merged per fluent and order, so no product of fluents and times is ever built. ``days``
+    may give a coarser time in the same order (of the column ``time``); a hot fluent is then worked through in pieces.
     """
-    t = toggles(happens, effects)
-    # the grid itself is the result that is asked for
-    grid = fluents.select("fluent").distinct().join(times.select("time").distinct(), how="cross")
-    w = W.partitionBy("fluent").orderBy("time").rowsBetween(W.unboundedPreceding, -1)
-    rows = grid.join(t, ["fluent", "time"], "left")
-    return rows.select("fluent", "time", F.coalesce(F.last("on", ignorenulls=True).over(w), F.lit(False)).alias("holds"))
+    t = toggles(happens, effects).select("fluent", "time", "on", F.lit(False).alias("asked"))
+    c = cells.select("fluent", "time").distinct().select("fluent", "time", F.lit(None).cast("boolean").alias("on"), F.lit(True).alias("asked"))
+    # at one time the question comes first: what is toggled now holds from the next time on
+    rows = t.unionByName(c).withColumn("piece", F.coalesce(days if days is not None else F.lit("").cast("string"), F.lit("").cast("string")))
+    got = running_last(rows.withColumn("later", ~F.col("asked")), ["fluent"], "piece", ["time", "later"], "on", "held")
+    return got.where("asked").select("fluent", "time", F.coalesce("held", F.lit(False)).alias("holds"))
 
 
 def order_chain(points: DataFrame) -> DataFrame:

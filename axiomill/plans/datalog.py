@@ -236,7 +236,7 @@ def bind(df: DataFrame, atom: Atom) -> DataFrame:
     return rows.select(*[F.col(c).alias(v) for v, c in first.items()]) if first else rows.select(F.lit(True).alias("?")).limit(1)
 
 
-def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict[str, DataFrame]) -> DataFrame:
+def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict[str, DataFrame], products: bool) -> DataFrame:
     """The joined body: the changed literal first, literals sharing variables next, comparisons and negations last."""
     pos = [(i, b.atom) for i, b in enumerate(r.body) if not b.negated and b.atom.pred not in COMPARISONS]
     pos.sort(key=lambda x: x[0] != delta)
@@ -250,7 +250,8 @@ def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict
             out = rows
         else:
             on = sorted(set(out.columns) & set(rows.columns))
-            # literals without a shared variable are a product by the rule's own meaning
+            if not on and not products and atom.vars and set(out.columns) != {"?"}:
+                raise ProgramError(f"{r.head}: literals without a shared variable are a product; give max_tuples to allow it")
             out = out.join(rows, on) if on else out.join(rows, how="cross")
     for b in r.body:
         if b.atom.pred in COMPARISONS:
@@ -265,9 +266,10 @@ def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict
     return out
 
 
-def fire(r: Rule, frames: dict[str, DataFrame], delta: int | None = None, deltas: dict[str, DataFrame] | None = None, cite: bool = False) -> DataFrame:
-    """Head tuples of one rule; with ``cite`` also the rule's sid and the facts it used."""
-    body = _body(r, frames, delta, deltas or {})
+def fire(r: Rule, frames: dict[str, DataFrame], delta: int | None = None, deltas: dict[str, DataFrame] | None = None, cite: bool = False, products: bool = False) -> DataFrame:
+    """Head tuples of one rule; with ``cite`` also the rule's sid and the facts it used. Literals that share no variable
+    are refused unless ``products`` allows them."""
+    body = _body(r, frames, delta, deltas or {}, products)
     value = lambda a: F.col(a) if a.startswith("?") else F.lit(a)
     cols = [value(a).alias(f"a{i}") for i, a in enumerate(r.head.args)]
     if not cite:
@@ -279,7 +281,8 @@ def fire(r: Rule, frames: dict[str, DataFrame], delta: int | None = None, deltas
 def evaluate(spark: SparkSession, p: Program, facts: dict[str, DataFrame], max_tuples: int | None = None, max_rounds: int = 10_000, cite: bool = False) -> dict[str, DataFrame]:
     """The model: every derived predicate's tuples (a0, a1, ...), distinct, by semi-naive rounds per stratum.
 
-    ``facts`` holds the stored tuples by predicate. ``max_tuples`` raises an overflow once more are derived. With ``cite``
+    ``facts`` holds the stored tuples by predicate. ``max_tuples`` raises an overflow once more are derived, and
+    only with it may a rule join literals that share no variable. With ``cite``
     a tuple also carries ``rule`` and ``parents`` of its first derivation (least round, rule and parents), null for stored
     facts. Null arguments never match, as null equals nothing.
     """
@@ -313,14 +316,14 @@ def evaluate(spark: SparkSession, p: Program, facts: dict[str, DataFrame], max_t
             for r in rules:
                 if k == 0:
                     if r.body:
-                        parts[r.head.pred].append(fire(r, frames, cite=cite))
+                        parts[r.head.pred].append(fire(r, frames, cite=cite, products=max_tuples is not None))
                     else:
                         row = spark.createDataFrame([r.head.args], ", ".join(f"{c} string" for c in _columns(len(r.head.args))))
                         parts[r.head.pred].append(row.selectExpr("*", f"'{r.sid}' as rule", f"cast(array() as {extra.split('parents ')[1]}) as parents") if cite else row)
                     continue
                 for i, b in enumerate(r.body):
                     if not b.negated and b.atom.pred in deltas:
-                        parts[r.head.pred].append(fire(r, frames, i, deltas, cite))
+                        parts[r.head.pred].append(fire(r, frames, i, deltas, cite, max_tuples is not None))
             found = {}
             for q, ps in parts.items():
                 c = cut(new_of(q, ps), "delta", n=F.count("*"))

@@ -49,6 +49,8 @@ def test_constants_repeats_nulls_and_comparisons(spark):
 def test_missing_relations_and_overflow(spark):
     assert model(evaluate(spark, parse("p(?X) :- nothing(?X)."), {})["p"]) == set()
     many = rows(spark, *[(str(i),) for i in range(60)])
+    with pytest.raises(ProgramError, match="product"):
+        evaluate(spark, parse("p(?X, ?Y) :- a(?X), b(?Y)."), {"a": many, "b": many})
     with pytest.raises(ProgramError, match="overflow"):
         evaluate(spark, parse("p(?X, ?Y) :- a(?X), b(?Y)."), {"a": many, "b": many}, max_tuples=1000)
 

@@ -173,7 +173,11 @@ def test_event_calculus(spark):
     ]
     effects = spark.createDataFrame(rules, "kind string, event string, fluent string, with string, without string")
     times = spark.createDataFrame([(f"n{i}",) for i in range(4)], "time string")
-    got = {(r["fluent"], r["time"]) for r in events.holds_at(happens, effects, times, effects.select("fluent")).where("holds").collect()}
+    cells = spark.createDataFrame([(f, f"n{i}") for f in ("forwards", "backwards", "spinning") for i in range(4)], "fluent string, time string")
+    grid = events.holds_at(happens, effects, cells).collect()
+    assert len(grid) == 12
+    got = {(r["fluent"], r["time"]) for r in grid if r["holds"]}
+    assert got == {(r["fluent"], r["time"]) for r in events.holds_at(happens, effects, cells, F.col("time")).where("holds").collect()}
     assert got == {("forwards", "n1"), ("backwards", "n2"), ("spinning", "n3")}
     assert [r["next"] for r in events.order_chain(times).orderBy("time").collect()] == ["n1", "n2", "n3", None]
 
