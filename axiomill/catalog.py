@@ -513,3 +513,33 @@ def sweep_portfolio(spark, d):
 
     r = table(spark, d, "sweep").where("solved").select("config", "problem").dropna().distinct()
     return greedy_portfolio(r, 5)
+
+
+# --- validation -------------------------------------------------------------------------------------------------------
+
+_INSIDE = ST + """, ins AS (SELECT sid AS top, pos AS arg, TRY_CAST(val AS BIGINT) AS sid FROM x WHERE kind = 'sub' UNION SELECT ins.top, ins.arg, TRY_CAST(x.val AS BIGINT) FROM ins JOIN x ON x.sid = ins.sid AND x.kind = 'sub'),
+va AS (SELECT sid AS top, pos AS arg, val AS var FROM x WHERE kind = 'variable' AND val IS NOT NULL UNION ALL SELECT ins.top, ins.arg, x.val FROM (SELECT DISTINCT * FROM ins) ins JOIN x ON x.sid = ins.sid WHERE x.kind = 'variable' AND x.val IS NOT NULL)"""
+
+
+def _findings(spark: SparkSession, d: str, code: str) -> DataFrame:
+    from axiomill.operators import validate
+
+    return validate.validate(validate.Base(_st(spark, d), _edges(spark, d)), [code]).select("sid", "symbol")
+
+
+@query(f"WITH {ST} SELECT sid, val AS symbol FROM x WHERE kind = 'sub' AND TRY_CAST(val AS BIGINT) IS NOT NULL AND TRY_CAST(val AS BIGINT) NOT IN (SELECT sid FROM st)")
+def valid_missing_sentence(spark, d):
+    """E016: a nested statement that isn't there."""
+    return _findings(spark, d, "E016")
+
+
+@query(f"WITH {ST} SELECT min(sid) AS sid, val AS symbol FROM x WHERE kind = 'symbol' AND regexp_matches(val, '[_-]') GROUP BY val")
+def valid_camel_case(spark, d):
+    """W032: names with underscores or hyphens."""
+    return _findings(spark, d, "W032")
+
+
+@query(f"WITH RECURSIVE {_INSIDE} SELECT top AS sid, var AS symbol FROM va JOIN sh ON sh.sid = top WHERE head = '=>' AND head_kind = 'op' AND len(el) = 3 GROUP BY top, var HAVING NOT bool_or(arg = 1)")
+def valid_free_variable(spark, d):
+    """W021: a variable of a rule's right side that its left side lacks."""
+    return _findings(spark, d, "W021")
