@@ -26,7 +26,7 @@ def test_found(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
 def test_prose_agrees_with_labels(spark):
-    """Labels weren't used to set the profiles, so they are held out; a few of them are wrong."""
+    """A few labels are wrong. The profiles were set on texts of sf0.1, so this is a regression test on other rows."""
     stats = QUERIES["p8_statistics"](spark, DATA).select("doc_id", "prose_share")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     both = labels.join(stats, "doc_id").collect()
