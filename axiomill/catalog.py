@@ -110,7 +110,7 @@ def kb_defining_sentence(spark, d):
     return store.defining_sentence(_st(spark, d))
 
 
-@query(f"WITH {ST} SELECT sid, head FROM sh WHERE is_root AND scope IN ('base', 'session:19') AND head IS NOT NULL AND head NOT IN ('domain', 'domainSubclass', 'range', 'rangeSubclass', 'documentation', 'format', 'termFormat', 'lexicon', 'relatedExternalConcept', 'synonymousExternalConcept', 'subsumingExternalConcept', 'subsumedExternalConcept', 'externalImage', 'comment')")
+@query(f"WITH {ST} SELECT sid, head FROM sh WHERE is_root AND scope IN ('base', 'session:19') AND head IS NOT NULL AND head NOT IN ('domain', 'domainSubclass', 'range', 'rangeSubclass', 'documentation', 'format', 'termFormat', 'externalImage', 'relatedExternalConcept', 'relatedInternalConcept', 'formerName', 'abbreviation', 'conventionalShortName', 'conventionalLongName')")
 def kb_axioms_in_session(spark, d):
     """Axioms of the base and one session, without bookkeeping heads."""
     rows = store.in_scope(_st(spark, d), "session:19").where(store.is_root() & F.col("head").isNotNull())

@@ -10,8 +10,8 @@ from axiomill.plans.skew import union_all
 
 # Bookkeeping heads that say nothing to a prover.
 EXCLUDED_HEADS = (
-    "domain", "domainSubclass", "range", "rangeSubclass", "documentation", "format", "termFormat", "lexicon", "relatedExternalConcept",
-    "synonymousExternalConcept", "subsumingExternalConcept", "subsumedExternalConcept", "externalImage", "comment",
+    "domain", "domainSubclass", "range", "rangeSubclass", "documentation", "format", "termFormat", "externalImage", "relatedExternalConcept", "relatedInternalConcept", "formerName",
+    "abbreviation", "conventionalShortName", "conventionalLongName",
 )
 
 TAXONOMY = ("subclass", "instance", "subrelation", "subAttribute")

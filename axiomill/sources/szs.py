@@ -28,8 +28,8 @@ def verdict(status: Column) -> Column:
 
 
 def expected(status: Column) -> Column:
-    """What a problem's header asks for: Proved, NotProved, or Informational."""
-    return _word(status, EXPECTED, "Informational")
+    """What a problem's header asks for: Proved (also without a header), NotProved, or Informational for other words."""
+    return F.when(status.isNull(), "Proved").otherwise(_word(status, EXPECTED, "Informational"))
 
 
 def status_of(text: Column) -> Column:

@@ -25,7 +25,7 @@ def testcase(text: str, file: str = "") -> dict:
             t["note"] = " ".join(x.val.strip('"') for x in a)
         elif h == "time" and a and a[0].kind == "number":
             t["timeout_s"] = int(float(a[0].val))
-        elif h == "query" and a:
+        elif h in ("query", "ask") and a:
             t["query_kif"] = emit(a[0])
         elif h == "answer" and a:
             words = [x.val for x in a]
@@ -35,7 +35,7 @@ def testcase(text: str, file: str = "") -> dict:
             t["answer"] = words or None
         elif h == "file" and a:
             t["extra_files"] += [x.val.strip('"') for x in a]
-        elif h in ("note", "time", "query", "answer", "file"):
+        elif h in ("note", "time", "query", "ask", "answer", "file"):
             t["unread"] += 1
         else:
             t["axioms"].append(emit(n))

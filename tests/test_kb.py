@@ -274,6 +274,8 @@ def test_transcripts_and_runs(spark):
     assert st["f1"]["role"] == "axiom" and st["f2"]["rule"] == "resolution" and st["f2"]["parents"] == ["f1"] and st["f1"]["formula"] == "(p(a))"
     assert [r[0] for r in df.orderBy("id").select(szs.verdict(szs.status_of(F.col("text")))).collect()] == ["Proved", "InputError", "InputError"]
     assert '"f1" -> "f2"' in szs.proof_graph(szs.steps(df, "id", "text"), "id").first()["dot"]
+    heads = spark.createDataFrame([("Theorem",), ("Satisfiable",), ("Open",), (None,)], "s string")
+    assert [r[0] for r in heads.select(szs.expected(F.col("s"))).collect()] == ["Proved", "NotProved", "Informational", "Proved"]
     solved = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2"), ("b", "3"), ("c", "3"), ("c", None)], "config string, problem string")
     assert [tuple(r) for r in runs.greedy_portfolio(solved, 5).collect()] == [(1, "a", 2, 2), (2, "b", 1, 3)]
     g = spark.createDataFrame([("Proved", True, True), ("Disproved", True, True), ("Timeout", True, True), ("Proved", None, True), ("Proved", True, False)], "v string, e boolean, k boolean")
