@@ -42,18 +42,29 @@ def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def _common(test: np.ndarray, text: np.ndarray, hashes: np.ndarray | None, shortest: int) -> tuple[list[int], list[int], int]:
-    """The text's words under windows of ``shortest`` words that the test has too, with their places; zones end in 0.
+def _hits(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The places of the hashes that are among ``keys``, which are sorted."""
+    if not len(keys) or not len(hashes):
+        return np.empty(0, np.int64)
+    at = np.searchsorted(keys, hashes)
+    at[at == len(keys)] = 0
+    return np.flatnonzero(keys[at] == hashes)
+
+
+def _whole(test: np.ndarray, zone: np.ndarray) -> int:
+    """The first place in the test where it has the whole zone, or -1."""
+    a, b, at = test.tobytes(), zone.tobytes(), -1
+    while (at := a.find(b, at + 1)) >= 0:
+        if at % test.itemsize == 0:
+            return at // test.itemsize
+    return -1
+
+
+def _common(text: np.ndarray, hit: np.ndarray, shortest: int) -> tuple[list[int], list[int], int]:
+    """The text's words under its windows of ``shortest`` words at the places ``hit``, with their places; zones end in 0.
 
     Third comes the longest zone's length.
     """
-    keys = np.sort(window_hashes(test, shortest))
-    hashes = window_hashes(text, shortest) if hashes is None else hashes
-    if not len(keys) or not len(hashes):
-        return [], [], 0
-    hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
-    if not len(hit):
-        return [], [], 0
     edge = np.zeros(len(text) + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + shortest, -1)
@@ -63,15 +74,23 @@ def _common(test: np.ndarray, text: np.ndarray, hashes: np.ndarray | None, short
     return np.append(np.insert(text[at], gaps, 0), 0).tolist(), np.append(np.insert(at, gaps, -1), -1).tolist(), longest
 
 
-def tile(test: np.ndarray, text: np.ndarray, shortest: int, hashes: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+def tile(test: np.ndarray, text: np.ndarray, shortest: int, hashes: np.ndarray | None = None, keys: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: non-overlapping common runs (length, place in test, place in text), longest first.
 
     The search length starts high and falls to ``shortest``; at each length all runs found by hash are extended over
     unmarked words and marked in order of length, so that the first tile is the longest common run. Id 0 matches nothing.
     Only the zones of the text that share a window with the test are tiled: no tile can lie elsewhere. ``hashes`` may
-    hold the text's window hashes of length ``shortest``.
+    hold the text's window hashes of length ``shortest``, ``keys`` the test's, sorted.
     """
-    t_ids, places, longest = _common(test, text, hashes, shortest)
+    keys = np.sort(window_hashes(test, shortest)) if keys is None else keys
+    hit = _hits(window_hashes(text, shortest) if hashes is None else hashes, keys)
+    if not len(hit):
+        return []
+    first, stop = int(hit[0]), int(hit[-1]) + shortest
+    if stop - first == len(hit) + shortest - 1 and text[first:stop].all() and (p := _whole(test, text[first:stop])) >= 0:
+        # the only zone lies in the test as a whole: it is the one tile
+        return [(stop - first, p, first)]
+    t_ids, places, longest = _common(text, hit, shortest)
     p_ids = test.tolist()
     free_p, free_t = [x != 0 for x in p_ids], [x != 0 for x in t_ids]
     tiles: list[tuple[int, int, int]] = []
@@ -140,20 +159,22 @@ class ItemBlock:
     """One block of test items, ready to be looked up: word ids, and the items of each seed."""
 
     def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.seed, self.ids, self.names, self.item = seed, {}, [], []
+        self.ids, self.names, self.item = {}, [], []
         for name, text in items:
             got = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            if len(got) >= seed:
+            if got:
                 self.names.append(name)
                 self.item.append(np.array(got, np.int64))
-        keys = [(h, i) for i, ids in enumerate(self.item) for h in np.unique(window_hashes(ids, seed)).tolist()]
-        keys.sort()
-        self.keys = np.array([k for k, _ in keys], np.uint64)
-        self.owner = np.array([i for _, i in keys], np.int64)
+        # an item shorter than the seed is its own seed, so there are at most ``seed`` lengths: (length, hashes, owners)
+        by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, ids in enumerate(self.item):
+            k = min(seed, len(ids))
+            by[k] += [(h, i) for h in np.unique(window_hashes(ids, k)).tolist()]
+        self.seeds = [(k, np.array([h for h, _ in v], np.uint64), np.array([i for _, i in v], np.int64)) for k, v in sorted((k, sorted(v)) for k, v in by.items())]
 
     def pairs(self, docs: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(place of the document, place of the item, the document's word ids) for all that share a seed."""
-        if not len(self.keys):
+        """(place of the document, place of the item, the document's word ids) for all that share a seed, by document."""
+        if not self.seeds or not docs:
             return
         get, parts, ends, at = self.ids.get, [], [], 0
         for text in docs:
@@ -162,20 +183,22 @@ class ItemBlock:
             parts.append(np.zeros(1, np.int64))
             at += len(found) + 1
             ends.append(at)
-        ids = np.concatenate(parts)
-        known = np.flatnonzero(_open(ids != 0, self.seed))
-        if not len(known):
-            return
-        hashes = window_hashes(ids, self.seed)[known]
-        low, high = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
-        hit = np.flatnonzero(high > low)
-        doc = np.searchsorted(np.array(ends), known[hit], "right")
-        seen = set()
-        for d, a, b in zip(doc.tolist(), low[hit].tolist(), high[hit].tolist()):
-            for i in self.owner[a:b].tolist():
-                if (d, i) not in seen:
-                    seen.add((d, i))
-                    yield d, i, parts[2 * d]
+        ids, ends = np.concatenate(parts), np.array(ends)
+        # per document: the owners of each seed found in it, each seed once
+        owners: dict[int, list[np.ndarray]] = defaultdict(list)
+        for k, keys, owner in self.seeds:
+            known = np.flatnonzero(_open(ids != 0, k))
+            if not len(known):
+                continue
+            hashes = window_hashes(ids, k)[known]
+            low, high = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
+            hit = np.flatnonzero(high > low)
+            doc = np.searchsorted(ends, known[hit], "right")
+            for d, a, b in np.unique(np.stack([doc, low[hit], high[hit]], 1), axis=0).tolist():
+                owners[d].append(owner[a:b])
+        for d in sorted(owners):
+            for i in np.unique(np.concatenate(owners.pop(d))).tolist():
+                yield d, i, parts[2 * d]
 
 
 _OUT = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("longest", pa.int32()), ("covered", pa.int32()), ("n_words", pa.int32()), ("tiles", pa.int32())])
@@ -184,6 +207,7 @@ _OUT = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("longest", pa.int3
 def _search(handle, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: ItemBlock = handle.value
+        keys: dict[int, np.ndarray] = {}
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows, start = [], 0
@@ -196,9 +220,14 @@ def _search(handle, shortest: int):
                 for d, i, ids in tests.pairs(texts[start:stop]):
                     if d != at:
                         at, hashes = d, window_hashes(ids, shortest)
-                    tiles = tile(tests.item[i], ids, shortest, hashes)
+                    # an item of fewer words than the shortest tile counts where it is copied whole
+                    n = len(tests.item[i])
+                    k = min(shortest, n)
+                    if i not in keys:
+                        keys[i] = np.sort(window_hashes(tests.item[i], k))
+                    tiles = tile(tests.item[i], ids, k, hashes if k == shortest else None, keys[i])
                     if tiles:
-                        rows.append((names[start + d], tests.names[i], tiles[0][0], sum(t[0] for t in tiles), len(tests.item[i]), len(tiles)))
+                        rows.append((names[start + d], tests.names[i], tiles[0][0], sum(t[0] for t in tiles), n, len(tiles)))
                 start = stop
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
@@ -207,13 +236,14 @@ def _search(handle, shortest: int):
 
 
 def leaks(
-    docs: DataFrame, doc: str, text: str, tests: DataFrame, item: str, passage: str, seed: int = 8, shortest: int = 5, min_run: int = 12, min_coverage: float = 0.5,
+    docs: DataFrame, doc: str, text: str, tests: DataFrame, item: str, passage: str, seed: int | None = None, shortest: int = 5, min_run: int = 12, min_coverage: float = 0.5,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Documents that give away test items: ``doc, item, longest, covered, n_words, tiles, coverage, leaked``.
 
     One row per pair of a document and an item that share ``seed`` consecutive words (any letters and digits, lower
-    case). ``longest`` is the longest common run of words, ``covered`` the item's words under tiles of at least
+    case), or all words of an item that has fewer. Without ``seed`` it is ``shortest``, so that every pair with a tile is
+    there; a longer seed is faster and loses pairs whose runs are all shorter. ``longest`` is the longest common run of words, ``covered`` the item's words under tiles of at least
     ``shortest`` words, which also catches passages in another order. ``leaked`` holds where the longest run has ``min_run`` words or
     the coverage reaches ``min_coverage``. Null texts and ids give no rows; an id that occurs twice may give rows twice.
     """
@@ -226,7 +256,7 @@ def leaks(
     for k in range(blocks):
         # a block's size is bounded by block_chars, whatever the test set holds
         part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == k)
-        handle = spark.sparkContext.broadcast(ItemBlock([(r["i"], r["p"]) for r in part.collect()], seed))
+        handle = spark.sparkContext.broadcast(ItemBlock([(r["i"], r["p"]) for r in part.collect()], shortest if seed is None else seed))
         found.append(d.mapInArrow(_search(handle, shortest), "doc bigint, item bigint, longest int, covered int, n_words int, tiles int"))
     out = union_all(found)
     coverage = F.col("covered") / F.col("n_words")

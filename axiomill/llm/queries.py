@@ -88,8 +88,8 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
 MIN_RUN = 12
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "testcase"), "item_id", "note", min_run=MIN_RUN)
+def _leaks(spark: SparkSession, d: str, seed: int | None = None) -> DataFrame:
+    return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "testcase"), "item_id", "note", seed=seed, min_run=MIN_RUN)
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents),
@@ -98,8 +98,8 @@ g AS (SELECT DISTINCT item_id, array_to_string(t[i : i + 11], ' ') AS s FROM (SE
 h AS (SELECT DISTINCT doc_id, array_to_string(t[i : i + 11], ' ') AS s FROM (SELECT doc_id, t, unnest(range(1, len(t) - 10)) AS i FROM w WHERE len(t) >= 12))
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (s)""")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold at least twelve consecutive words of a test item's note."""
-    return _leaks(spark, d).where(F.col("longest") >= MIN_RUN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    """Documents that hold at least twelve consecutive words of a test item's note; every such run holds a seed of eight."""
+    return _leaks(spark, d, seed=8).where(F.col("longest") >= MIN_RUN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 @query()

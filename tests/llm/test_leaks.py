@@ -76,3 +76,21 @@ def _run(p, t, i, j):
 def test_empty(spark):
     assert run(spark, [], [(1, NOTE)]) == {} and run(spark, [(1, NOTE)], []) == {}
     assert list(ItemBlock([], 8).pairs(["a b c"])) == []
+
+
+def test_altered_every_seventh_word(spark):
+    """Six words in a row at most: no common run of eight, yet most of the item is there."""
+    w = words(NOTE)
+    altered = " ".join("zzz" if i % 7 == 6 else x for i, x in enumerate(w))
+    got = run(spark, [(1, "intro " + altered + " outro"), (2, " ".join(w[:6]) + " zzz")], [(10, NOTE)])
+    assert got[1, 10]["longest"] == 6 and got[1, 10]["covered"] == len(w) // 7 * 6 and got[1, 10]["leaked"]
+    assert got[2, 10]["longest"] == 6 and not got[2, 10]["leaked"]
+    assert run(spark, [(1, altered)], [(10, NOTE)], seed=8) == {}
+
+
+def test_items_shorter_than_the_seed(spark):
+    items = [(1, "one two three four five six"), (2, "Alpha, beta!"), (3, "--")]
+    docs = [(1, "x one two three four five six y"), (2, "x alpha beta y alpha"), (3, "beta alpha"), (4, "one two three four x")]
+    for seed in (None, 8):
+        got = run(spark, docs, items, seed=seed)
+        assert {k: (r["longest"], r["covered"], r["n_words"], r["leaked"]) for k, r in got.items()} == {(1, 1): (6, 6, 6, True), (2, 2): (2, 2, 2, True)}
