@@ -56,18 +56,17 @@ class Mixture:
             raise ValueError(f"more than {MAX_SOURCES} target sources")
         plan = [r.asDict() | {"cap": max(0, r["repeats"]) * r["size"]} for r in held]
         weights = sum(p["weight"] for p in plan)
-        # rows beyond this time can't be in the mixture: it leaves room for one document too many a source
-        level = _level(plan, self.budget)
+        # the queue goes on until both the budget and the size of all of ``counts`` are given
+        level = _level(plan, max(self.budget, self.total))
         nominal = self.total / weights if weights else 0.0
         for p in plan:
             passes = math.ceil(level * p["weight"] / p["size"]) + 1 if p["size"] and level < math.inf else p["repeats"]
             p["passes"] = max(0, min(p["repeats"], passes)) if p["size"] else 0
             p["buckets"] = p["n_docs"] // BUCKET_ROWS + 1
-            # exact in whole tokens: the last copy's finish time against the nominal end of the queue
-            p["short"] = p["cap"] * weights < p["weight"] * self.total
+            # in whole tokens, without the rounding of the queue's finish times
+            p["below"] = p["cap"] * weights < p["weight"] * self.total
             p["target_share"] = p["weight"] / weights
-            p["last_finish"] = p["cap"] / p["weight"]
-        schema = "source string, weight double, size bigint, n_docs bigint, cap bigint, passes bigint, buckets bigint, short boolean, target_share double, last_finish double, repeats bigint"
+        schema = "source string, weight double, size bigint, n_docs bigint, cap bigint, passes bigint, buckets bigint, below boolean, target_share double, repeats bigint"
         columns = [c.split()[0] for c in schema.split(", ")]
         plans = spark.createDataFrame([tuple(p[c] for c in columns) for p in plan], schema)
         queue = kept.df.join(F.broadcast(plans.select("source", "weight", "size", "passes", "buckets")), "source")
@@ -78,26 +77,35 @@ class Mixture:
         # ranges of the finish time, as wide as one range's share of the documents: a range sort with known bounds
         n_rows = sum(p["n_docs"] * p["passes"] for p in plan)
         ranges = n_rows // BUCKET_ROWS + 1
-        end = level if level < math.inf else max((p["last_finish"] for p in plan), default=1.0)
+        end = level if level < math.inf else max((p["cap"] / p["weight"] for p in plan), default=1.0)
         copies = copies.withColumn("range", F.floor(F.least(F.col("finish") / max(end, 1e-9), F.lit(2.0)) * ranges))
         copies = running_sum(copies, [], "range", ["finish", "source", "copy", "doc"], "tokens", "position")
         self.rows = copies.where(F.col("position") <= self.budget).select("doc", "source", "copy", "tokens", "finish", "position")
-        used = self.rows.groupBy("source").agg(F.sum("tokens").alias("used"), F.count("*").alias("used_docs"))
-        given = sum(min(p["cap"], level * p["weight"]) for p in plan) if plan else 0
-        self.nominal, self.expected = nominal, given
+        mixed, nominally = F.col("position") <= self.budget, F.col("position") <= self.total
+        used = copies.groupBy("source").agg(
+            F.coalesce(F.sum(F.when(mixed, F.col("tokens"))), F.lit(0)).alias("used"), F.count_if(mixed).alias("used_docs"),
+            F.coalesce(F.sum(F.when(nominally, F.col("tokens"))), F.lit(0)).alias("given"), F.max("finish").alias("finish"),
+        )
+        reached = _level(plan, self.budget)
+        self.nominal, self.expected = nominal, sum(min(p["cap"], reached * p["weight"]) for p in plan)
         self._plans, self._used = plans, used
 
     def report(self) -> DataFrame:
         """``source, target_share, share, used, used_docs, size, cap, passes_used, last_finish, short`` per wanted source.
 
         ``share`` is the share of the tokens in the mixture; ``short`` holds where all allowed copies end before the
-        virtual time at which the source would have its target share of all tokens.
+        virtual time at which the source would have its target share of all tokens: the queue, cut at the size of all
+        of ``counts``, holds all of them, and ``last_finish``, the largest finish time among them, is not past that time.
+        A tie within the rounding of finish times is settled in whole tokens. Passes that are allowed but lie beyond the
+        end of the queue add a source's size over its weight each to ``last_finish``.
         """
-        both = self._plans.join(F.broadcast(self._used), "source", "left").na.fill(0, ["used", "used_docs"])
+        both = self._plans.join(F.broadcast(self._used), "source", "left").na.fill(0, ["used", "used_docs", "given", "finish"])
+        both = both.withColumn("last_finish", F.col("finish") + F.when(F.col("passes") > 0, F.col("repeats") - F.col("passes")).otherwise(0) * F.col("size") / F.col("weight"))
         mixed = F.sum("used").over(_everything())
+        short = (F.col("given") == F.col("cap")) & (F.col("last_finish") <= self.nominal * (1 + 1e-9)) & F.col("below")
         return both.select(
             "source", "target_share", F.when(mixed > 0, F.col("used") / mixed).otherwise(0.0).alias("share"), "used", "used_docs", "size", "cap",
-            F.when(F.col("size") > 0, F.col("used") / F.col("size")).otherwise(0.0).alias("passes_used"), "last_finish", "short",
+            F.when(F.col("size") > 0, F.col("used") / F.col("size")).otherwise(0.0).alias("passes_used"), "last_finish", short.alias("short"),
         )
 
 

@@ -68,3 +68,28 @@ def test_token_counts(spark):
     got = {r["doc"]: r for r in tokens.token_counts(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), "doc_id", "source", "text").collect()}
     assert set(got) == {1, 2, 5} and got[1]["source"] == "news page" and got[1]["tokens"] == 2 and got[2]["source"] is got[5]["source"] is None
     assert got[5]["tokens"] > 3
+
+
+def test_short_comes_from_the_queue(spark):
+    rows = [(i, "abc"[i % 3], 3 + i % 7) for i in range(300)] + [(900, "d", 12)]
+    targets = [("a", 5.0, 1), ("b", 1.0, 4), ("c", 2.0, 40), ("d", 1.0, 3), ("gone", 1.0, 2), ("never", 0.5, 0)]
+    m = mix(spark, rows, targets)
+    found = m.report().where("short").select("source")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "finish" in plan and "range" in plan and "_local" in plan and "Generate explode" in plan
+    size = {s: sum(t for _, x, t in rows if x == s) for s in "abcd"}
+    weights = sum(w for _, w, _ in targets)
+    want = {s for s, w, r in targets if size.get(s, 0) * r * weights < w * m.total}
+    assert {r["source"] for r in found.collect()} == want and 2 < len(want) < 6
+    for budget in (0, 50, 5000):
+        rep = {r["source"]: r for r in mix(spark, rows, targets, budget=budget).report().collect()}
+        assert {s for s, r in rep.items() if r["short"]} == want
+        assert all(math.isclose(rep[s]["last_finish"], size.get(s, 0) * r / w) for s, w, r in targets)
+
+
+def test_a_tie_is_not_short(spark):
+    # each source holds exactly its target share, in weights whose quotients are rounded
+    rows = [(i, "abc"[i % 3], 7) for i in range(90)]
+    rep = mix(spark, rows, [("a", 0.1, 1), ("b", 0.1, 1), ("c", 0.1, 1)], budget=630).report().collect()
+    product = 210 * (0.1 + 0.1 + 0.1) < 0.1 * 630
+    assert [r["short"] for r in rep] == [product] * 3
