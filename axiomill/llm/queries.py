@@ -48,10 +48,10 @@ MIN_RATIO = 0.47
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Scarce shared symbols that mark their sentence.
 
-    Of the scored terms those above the rest of the collection (z > 0) are candidates; the exact ratio decides.
+    The exact ratio alone decides; the most characteristic (by z) come first.
     """
     scored = distinctive_terms(_sentences(spark, d), MIN_TERMS)
-    found = scored.where((F.col("z") > 0) & (F.col("df") >= 2) & (F.col("tf") / F.col("df") > MIN_RATIO))
+    found = scored.where((F.col("df") >= 2) & (F.col("tf") / F.col("df") > MIN_RATIO)).orderBy(F.desc("z"), "record", "term")
     return found.select(F.col("record").alias("sid"), "term")
 
 

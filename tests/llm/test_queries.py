@@ -31,3 +31,16 @@ def test_prose_agrees_with_labels(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     both = labels.join(stats, "doc_id").collect()
     assert sum((r["kind"] == "prose") == (r["prose_share"] >= 0.5) for r in both) >= 0.9 * len(both) > 0
+
+
+def test_p4_ratio_alone_decides(spark, tmp_path):
+    """Record 2 repeats x so often that x is below the rest in record 1 (z < 0); the ratio 1/2 holds there all the same."""
+    rows = [(1, ["x"] + [f"u{i}" for i in range(7)]), (2, ["x"] * 30)]
+    data = [(sid, [("symbol", t) for t in terms]) for sid, terms in rows]
+    spark.createDataFrame(data, "sid bigint, elements array<struct<kind:string,val:string>>").write.parquet(f"{tmp_path}/sentences.parquet")
+    z = {(r["sid"], r["term"]): r["z"] for r in QUERIES["p4_scores"](spark, str(tmp_path)).collect()}
+    assert z[1, "x"] < 0
+    found = QUERIES["p4_found"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, "x"), (2, "x")}
+    # the scores are still worked out: they give the order
+    assert "ln(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
