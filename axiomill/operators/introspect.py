@@ -15,15 +15,18 @@ from axiomill.sources.kif import parse, tokens
 
 
 def inside(st: DataFrame) -> DataFrame:
-    """``top, depth, sid``: every statement with itself (depth 0) and all nested in it; one equi-join per level."""
+    """``top, depth, sid``: every statement with itself (depth 0) and all nested in it; one equi-join per level.
+
+    Levels are followed however deep they go; a statement that lies in itself is an error.
+    """
     sub = cut(store.elements(st).where("kind = 'sub'").select("sid", F.col("val").try_cast("bigint").alias("inner")).dropna().distinct(), "subs").df
     level = cut(st.select(F.col("sid").alias("top"), F.lit(0).alias("depth"), "sid"), "inside", n=F.count("*"))
     out = []
-    for k in range(1, 64):
-        if not level.seen["n"]:
-            break
+    while level.seen["n"]:
         out.append(level.df)
-        level = cut(level.df.join(sub, "sid").select("top", F.lit(k).alias("depth"), F.col("inner").alias("sid")).distinct(), "inside", n=F.count("*"))
+        level = cut(level.df.join(sub, "sid").select("top", F.lit(len(out)).alias("depth"), F.col("inner").alias("sid")).distinct(), "inside", n=F.count("*"), own=store.in_itself())
+        if level.seen["own"]:
+            raise ValueError("a statement is nested in itself")
     return union_all(out) if out else st.select(F.col("sid").alias("top"), F.lit(0).alias("depth"), "sid")
 
 

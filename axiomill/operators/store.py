@@ -64,6 +64,11 @@ def binary_facts(st: DataFrame, rel: str) -> DataFrame:
     return facts(st.where(F.col("head") == rel)).where(F.size("args") == 2).select(F.get("args", F.lit(0)).alias("x"), F.get("args", F.lit(1)).alias("y"), "sid", "scope")
 
 
+def in_itself(top: str = "top", sid: str = "sid") -> Column:
+    """Counts the rows of a level of nesting in which a statement lies in itself; then levels would never end."""
+    return F.count_if(F.col(top) == F.col(sid))
+
+
 def in_scope(df: DataFrame, session: str | None = None, tombstones: DataFrame | None = None, scope: str = "scope") -> DataFrame:
     """The rows of the base, and of one session laid over it, without removed sids."""
     view = df.where(F.col(scope).isin("base", *([session] if session else [])))
@@ -75,20 +80,42 @@ def real_symbol(c: Column) -> Column:
     return ~(c.rlike(r"^[?@]") | c.rlike(r"^.+__[0-9]+$") | c.rlike(r"^sk_?[0-9]+$"))
 
 
+class Met:
+    """Rows met by a loop of written steps. Every FOLD steps the frames are written as one, so plans stay small."""
+
+    FOLD = 16
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.frames = columns, []
+
+    def add(self, df: DataFrame) -> None:
+        self.frames.append(df)
+        if len(self.frames) > self.FOLD:
+            self.frames = [cut(self.all(), "met").df]
+
+    def all(self) -> DataFrame:
+        return union_all(self.frames)
+
+    def new(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose ``columns`` weren't met."""
+        return df.join(self.all().select(*self.columns), self.columns, "left_anti")
+
+
 def roots_of(st: DataFrame, found: DataFrame) -> DataFrame:
     """``sid, root``: the top-level statement around each of ``found`` (sid); one equi-join per level of nesting.
 
-    A statement nested in several gets a row for each; one whose parents can't be found stands for itself.
+    A statement nested in several gets a row for each; one whose parents can't be found stands for itself. Levels are
+    followed however deep they go; what a statement was already followed to is not followed again, so cycles end.
     """
     up = cut(st.select(F.col("sid").alias("at"), F.explode("parent").alias("up")).where("up is not null"), "parents").df
     front = cut(found.select("sid", F.col("sid").alias("at")).distinct(), "roots", n=F.count("*"))
-    done: list[DataFrame] = []
-    for _ in range(64):
-        if not front.seen["n"]:
-            break
-        done.append(front.df.join(up, "at", "left_anti").select("sid", F.col("at").alias("root")))
-        front = cut(front.df.join(up, "at").select("sid", F.col("up").alias("at")).distinct(), "roots", n=F.count("*"))
-    return union_all(done).distinct() if done else found.select("sid", F.col("sid").alias("root"))
+    met = Met(["sid", "at"])
+    done = Met(["sid", "root"])
+    while front.seen["n"]:
+        met.add(front.df)
+        done.add(front.df.join(up, "at", "left_anti").select("sid", F.col("at").alias("root")))
+        front = cut(met.new(front.df.join(up, "at").select("sid", F.col("up").alias("at")).distinct()), "roots", n=F.count("*"))
+    return done.all().distinct() if done.frames else found.select("sid", F.col("sid").alias("root"))
 
 
 def defining_sentence(st: DataFrame) -> DataFrame:

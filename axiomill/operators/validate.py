@@ -43,14 +43,14 @@ class Base:
         """``top, arg, depth, sid``: what is nested in each statement, and under which argument; one join per level."""
         if self._inside is None:
             sub = cut(self.elements.where("kind = 'sub'").select("sid", "pos", F.col("val").try_cast("bigint").alias("inner")).dropna(), "subs").df
-            level = sub.select(F.col("sid").alias("top"), F.col("pos").alias("arg"), F.lit(1).alias("depth"), F.col("inner").alias("sid"))
-            out = [level]
-            for k in range(2, 64):
-                level = cut(level.join(sub.select("sid", "inner"), "sid").select("top", "arg", F.lit(k).alias("depth"), F.col("inner").alias("sid")).distinct(), "inside", n=F.count("*"))
-                if not level.seen["n"]:
-                    break
-                level = level.df
-                out.append(level)
+            level = cut(sub.select(F.col("sid").alias("top"), F.col("pos").alias("arg"), F.lit(1).alias("depth"), F.col("inner").alias("sid")), "inside", n=F.count("*"), own=store.in_itself())
+            out = [level.df]
+            while level.seen["n"]:
+                if level.seen["own"]:
+                    raise ValueError("a statement is nested in itself")
+                level = level.df.join(sub.select("sid", "inner"), "sid").select("top", "arg", F.lit(len(out) + 1).alias("depth"), F.col("inner").alias("sid"))
+                level = cut(level.distinct(), "inside", n=F.count("*"), own=store.in_itself())
+                out.append(level.df)
             self._inside = cut(union_all(out), "inside").df
         return self._inside
 
