@@ -145,6 +145,13 @@ def kb_usage_evidence(spark, d):
     return f.groupBy(F.get("args", F.lit(0)).alias("node"), F.col("rel").alias("class_evidence")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {ST} SELECT args[1] AS node, rel AS class_evidence, count(*) AS n FROM fa WHERE len(args) >= 2 GROUP BY ALL")
+def kb_usage_evidence_all(spark, d):
+    """The same over every relation, not only three."""
+    f = _facts(spark, d).where(F.size("args") >= 2)
+    return f.groupBy(F.get("args", F.lit(0)).alias("node"), F.col("rel").alias("class_evidence")).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {USE}, gone AS (SELECT sid FROM sh WHERE file = 'kb/midlevel_core.kif'), u AS (SELECT symbol, count(*) AS occ FROM us WHERE sid NOT IN (SELECT sid FROM gone) GROUP BY symbol) SELECT symbol, occ FROM u""")
 def sine_generality_after_removal(spark, d):
     """Generality kept up incrementally when one file's statements go."""
