@@ -287,10 +287,15 @@ def completeness_missing_doc(spark, d):
 @query(f"""WITH {TAX}, {_DOCS}, n AS (SELECT child AS node FROM ed UNION SELECT parent FROM ed), c AS (SELECT child AS node, bool_and(coalesce(rel, '') = 'subclass') AS c FROM ed GROUP BY child)
 SELECT count(*) FILTER (coalesce(c, true)) AS classes, count(*) FILTER (NOT coalesce(c, true)) AS instances, count(*) FILTER (node IN (SELECT symbol FROM dc WHERE rel = 'documentation')) AS documented FROM n LEFT JOIN c USING (node)""")
 def vocab_stats(spark, d):
+    return vocab_figures(spark, d).select("classes", "instances", "documented")
+
+
+@query()
+def vocab_figures(spark, d):
+    """All seven figures of the vocabulary: classes, instances, relations, predicates, functions, documented, labelled."""
     e = _edges(spark, d)
     nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
-    k = taxonomy.is_class(e, nodes).withColumns({f"is_{x}": F.lit(False) for x in ("relation", "predicate", "function")})
-    return search.vocabulary(k, search.docs(_facts(spark, d))).select("classes", "instances", "documented")
+    return search.vocabulary(taxonomy.kinds(e, nodes), search.docs(_facts(spark, d)))
 
 
 # --- relevance --------------------------------------------------------------------------------------------------------

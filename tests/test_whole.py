@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 
-from tests.test_kb import kb
+from tests.test_kb import edges, kb
 
 
 def run(spark, path, name):
@@ -12,3 +12,12 @@ def run(spark, path, name):
 def test_usage_evidence_of_all_relations(spark, tmp_path):
     kb(spark, "(heldBy A B) (likes A B) (likes A C) (single A) (likes ?X B)").write.parquet(f"{tmp_path}/sentences.parquet")
     assert run(spark, tmp_path, "kb_usage_evidence_all") == [("A", "heldBy", 1), ("A", "likes", 2)]
+
+
+def test_vocabulary_figures(spark, tmp_path):
+    kb(spark, '(documentation likes EnglishLanguage "x") (termFormat EnglishLanguage likes "likes")').write.parquet(f"{tmp_path}/sentences.parquet")
+    rows = [("Relation", "Entity", "subclass"), ("Predicate", "Relation", "subclass"), ("Function", "Relation", "subclass"), ("likes", "Predicate", "instance"), ("AgeFn", "Function", "instance")]
+    e = edges(spark, *rows).selectExpr("child as to_sym", "parent as from_sym", "rel", "1L as sid", "array('base') as scopes")
+    e.write.parquet(f"{tmp_path}/tax_edges.parquet")
+    got = entry.queries()["vocab_figures"](spark, str(tmp_path)).first().asDict()
+    assert got == {"classes": 4, "instances": 2, "relations": 2, "predicates": 1, "functions": 1, "documented": 1, "labelled": 1}
