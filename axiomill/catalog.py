@@ -490,6 +490,26 @@ def source_diff(spark, d):
     return got.groupBy("file").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "unchanged")])
 
 
+@query("""WITH t AS (SELECT DISTINCT snap_no, file, elements::VARCHAR AS fp FROM axiom_snapshots WHERE file IS NOT NULL AND snap_no IS NOT NULL),
+s AS (SELECT snap_no, lead(snap_no) OVER (ORDER BY snap_no) AS later FROM (SELECT DISTINCT snap_no FROM axiom_snapshots WHERE snap_no IS NOT NULL)),
+a AS (SELECT later AS snap_no, file, fp FROM t JOIN s USING (snap_no) WHERE later IS NOT NULL), b AS (SELECT * FROM t WHERE snap_no > (SELECT min(snap_no) FROM s))
+SELECT coalesce(a.snap_no, b.snap_no) AS snap_no, coalesce(a.file, b.file) AS file, count(*) FILTER (a.file IS NULL) AS added, count(*) FILTER (b.file IS NULL) AS removed, count(*) FILTER (a.file IS NOT NULL AND b.file IS NOT NULL) AS unchanged
+FROM a FULL JOIN b ON a.snap_no = b.snap_no AND a.file = b.file AND a.fp IS NOT DISTINCT FROM b.fp GROUP BY 1, 2""")
+def source_diff_all(spark, d):
+    """The same for every pair of consecutive deliveries; snap_no is the later one."""
+    from axiomill.streaming.ingest import diff
+
+    t = table(spark, d, "axiom_snapshots").where("snap_no is not null")
+    # deliveries are few: one row each
+    snaps = sorted(r[0] for r in t.select("snap_no").distinct().collect())
+    t = t.where("file is not null").select("snap_no", "file", F.coalesce(F.xxhash64("elements"), F.lit(0)).alias("fp"))
+    pairs = spark.createDataFrame(list(zip(snaps, snaps[1:])), "snap_no int, later int")
+    old = t.join(F.broadcast(pairs), "snap_no").select(F.struct(F.col("later").alias("snap_no"), "file").alias("file"), "fp")
+    new = t.join(F.broadcast(pairs.select(F.col("later").alias("snap_no"))), "snap_no").select(F.struct("snap_no", "file").alias("file"), "fp")
+    got = diff(old, new)
+    return got.groupBy("file.snap_no", "file.file").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "unchanged")])
+
+
 @query("SELECT file, origin, CASE WHEN s.file IS NULL THEN 'unused' WHEN mtime IS NULL AND content_hash IS NULL THEN 'unknown' WHEN last_in > mtime THEN 'fresh' ELSE 'stale' END AS state FROM kb_sources LEFT JOIN (SELECT file, max(ingested_at) AS last_in FROM sentences GROUP BY file) s USING (file)")
 def source_freshness(spark, d):
     """Files against what was taken in from them."""

@@ -21,3 +21,10 @@ def test_vocabulary_figures(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/tax_edges.parquet")
     got = entry.queries()["vocab_figures"](spark, str(tmp_path)).first().asDict()
     assert got == {"classes": 4, "instances": 2, "relations": 2, "predicates": 1, "functions": 1, "documented": 1, "labelled": 1}
+
+
+def test_diff_of_every_pair_of_deliveries(spark, tmp_path):
+    rows = [(1, "f", "a"), (1, "f", "b"), (2, "f", "b"), (4, "f", "b"), (4, "g", "c"), (4, "g", "c"), (5, None, "d"), (5, "g", "c"), (None, "f", "z")]
+    schema = "snap_no int, file string, elements array<struct<kind:string,val:string>>"
+    spark.createDataFrame([(n, f, [("symbol", x)]) for n, f, x in rows], schema).write.parquet(f"{tmp_path}/axiom_snapshots.parquet")
+    assert run(spark, tmp_path, "source_diff_all") == [(2, "f", 0, 1, 1), (4, "f", 0, 0, 1), (4, "g", 1, 0, 0), (5, "f", 0, 1, 0), (5, "g", 0, 0, 1)]
