@@ -559,6 +559,26 @@ def _findings(spark: SparkSession, d: str, code: str) -> DataFrame:
     return validate.validate(validate.Base(_st(spark, d), _edges(spark, d)), [code]).select("sid", "symbol")
 
 
+@query()
+def valid_arity(spark, d):
+    """E005: a relation or operator with another number of arguments than declared."""
+    return _findings(spark, d, "E005")
+
+
+@query()
+def valid_domain(spark, d):
+    """E006: an argument outside the class declared for its place."""
+    return _findings(spark, d, "E006")
+
+
+@query()
+def valid_all(spark, d):
+    """Every validation rule over the whole tables."""
+    from axiomill.operators import validate
+
+    return validate.validate(validate.Base(_st(spark, d), _edges(spark, d)))
+
+
 @query(f"WITH {ST} SELECT sid, val AS symbol FROM x WHERE kind = 'sub' AND TRY_CAST(val AS BIGINT) IS NOT NULL AND TRY_CAST(val AS BIGINT) NOT IN (SELECT sid FROM st)")
 def valid_missing_sentence(spark, d):
     """E016: a nested statement that isn't there."""

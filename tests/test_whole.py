@@ -28,3 +28,16 @@ def test_diff_of_every_pair_of_deliveries(spark, tmp_path):
     schema = "snap_no int, file string, elements array<struct<kind:string,val:string>>"
     spark.createDataFrame([(n, f, [("symbol", x)]) for n, f, x in rows], schema).write.parquet(f"{tmp_path}/axiom_snapshots.parquet")
     assert run(spark, tmp_path, "source_diff_all") == [(2, "f", 0, 1, 1), (4, "f", 0, 0, 1), (4, "g", 1, 0, 0), (5, "f", 0, 1, 0), (5, "g", 0, 0, 1)]
+
+
+def test_validation_over_whole_tables(spark, tmp_path):
+    text = "(domain likes 1 Animal) (likes Bob Bob) (likes Bob) (likes Rock Bob)"
+    kb(spark, text).write.parquet(f"{tmp_path}/sentences.parquet")
+    rows = [("Animal", "Entity", "subclass"), ("Bob", "Animal", "instance"), ("Rock", "Entity", "instance"), ("Relation", "Entity", "subclass"), ("BinaryRelation", "Relation", "subclass"), ("likes", "BinaryRelation", "instance")]
+    e = edges(spark, *rows).selectExpr("child as to_sym", "parent as from_sym", "rel", "1L as sid", "array('base') as scopes")
+    e.write.parquet(f"{tmp_path}/tax_edges.parquet")
+    q = entry.queries()
+    assert sorted(r["symbol"] for r in q["valid_arity"](spark, str(tmp_path)).collect()) == ["likes"]
+    assert [r["symbol"] for r in q["valid_domain"](spark, str(tmp_path)).collect()] == ["Rock"]
+    codes = {r["code"] for r in q["valid_all"](spark, str(tmp_path)).collect()}
+    assert {"E001", "E002", "E005", "E006"} <= codes
