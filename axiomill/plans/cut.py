@@ -1,24 +1,50 @@
 """Materialised steps: a frame written once to the shared folder and read back.
 
 A written table cuts the lineage of loops, survives the loss of any executor, is column-pruned by later reads and
-carries its size, so that Spark's own broadcast threshold sees real numbers.
+carries its size, so that Spark's own broadcast threshold sees real numbers. Loops drop their steps as they go; what a
+lazy result still reads lies in the application's own folder, which goes when the application ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from axiomill.session import shared_dir
 
 
+_FOLDERS: set[str] = set()
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_end(spark: SparkSession, name: str) -> None:
+    try:
+        _delete(spark, name)
+    except Exception:  # the JVM may be gone: the folder is left to whoever cleans the shared folder
+        pass
+
+
+def folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; deleted when Python ends."""
+    name = f"{shared_dir(spark)}/axiomill/{spark.sparkContext.applicationId}"
+    if name not in _FOLDERS:
+        _FOLDERS.add(name)
+        atexit.register(_at_end, spark, name)
+    return name
+
+
 class Cut:
     """A written frame: ``df`` reads it, ``seen`` holds figures gathered while it was written."""
 
     def __init__(self, df: DataFrame, tag: str, **figures: Column):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/axiomill/{tag}-{uuid.uuid4().hex}"
+        self.path = f"{folder(self.spark)}/{tag}-{uuid.uuid4().hex}"
         schema = df.schema
         if figures:
             watch = Observation(f"{tag}-{uuid.uuid4().hex}")
@@ -29,8 +55,7 @@ class Cut:
 
     def drop(self) -> None:
         """Delete the files; for steps that nothing lazy reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def cut(df: DataFrame, tag: str, **figures: Column) -> Cut:

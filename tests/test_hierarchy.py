@@ -1,6 +1,10 @@
 import random
 
+import pytest
+
+from axiomill.operators import hierarchy as module
 from axiomill.operators.hierarchy import descendants, hierarchy, paths
+from axiomill.plans import skew
 
 
 def frame(spark, links):
@@ -45,8 +49,13 @@ def check(spark, links):
         assert got[n]["n_descendants"] == sum(a == n for a, _, _ in below)
 
 
-def test_trees_cycles_chains_and_dirt(spark):
-    """One frame of everything, since a call takes as many rounds for one tree as for all."""
+@pytest.mark.parametrize("tail", [0, 12, 50_000])
+def test_trees_cycles_chains_and_dirt(spark, tail, monkeypatch):
+    """One frame of everything, since a call takes as many rounds for one tree as for all; with and without a last task."""
+    monkeypatch.setattr(module, "TAIL_ROWS", tail)
+    if tail < 50_000:
+        monkeypatch.setattr(module, "BLOCK", 4)
+        monkeypatch.setattr(module, "salts_of", lambda c, k, r, n: skew.salts_of(c, k, r, n, 5))
     links = [
         ("b", "a"), (" b ", "a\t"), ("c", "b"), ("d", "b"), ("e", "d"), ("f", "a"), ("s", "s"), ("t", "s"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("v", "w"),
         (None, "a"), ("q", None), (None, None), ("", "a"), ("g", " "), ("c", "b"),
