@@ -16,21 +16,24 @@ def _let(value: Column, body) -> Column:
 
 
 def number_form(text: Column) -> Column:
-    """One spelling per number: null where ``text`` is no number.
+    """One spelling per number, its significant digits and power of ten: null where ``text`` is no number.
 
-    Plain decimals are compared exactly, by their digits. With an exponent, or when a plain decimal has at most 15
-    significant digits, the value of the double stands for it, so that 14e3, 14000 and 14000.0 agree.
+    Exact for every spelling and length, so that 14e3, 14000 and 14000.0 agree and 10000000000000001 differs from 1e16.
+    Powers beyond 10^17 in size count as no number.
     """
-    plain = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
-    power = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+$")
     bare = F.regexp_replace(text, r"^[+-]", "")
-    whole = F.regexp_replace(F.regexp_extract(bare, r"^([0-9]*)", 1), r"^0+", "")
-    part = F.regexp_replace(F.regexp_extract(bare, r"\.([0-9]*)$", 1), r"0+$", "")
-    exact = F.concat(F.when(text.startswith("-"), "-").otherwise(""), whole, F.lit("."), part)
-    # adding 0.0 turns minus zero into zero
-    value = text.try_cast("double") + F.lit(0.0)
-    long = F.length(whole) + F.length(part) > 15
-    return F.when(plain & long, exact).when(plain | power, value.cast("string"))
+    digits = F.concat(F.regexp_extract(bare, r"^([0-9]*)", 1), F.regexp_extract(bare, r"^[0-9]*\.([0-9]*)", 1))
+    places = F.length(F.regexp_extract(bare, r"^[0-9]*\.([0-9]*)", 1))
+    power = F.coalesce(F.nullif(F.regexp_extract(bare, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")), F.lit("0")).try_cast("bigint")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+
+    def form(d: Column) -> Column:
+        short = F.regexp_replace(d, r"0+$", "")
+        e = power - places + F.length(d) - F.length(short)
+        return F.when(short == "", "0").otherwise(F.concat(sign, F.regexp_replace(short, r"^0+", ""), F.lit("e"), e.cast("string")))
+
+    number = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") & power.between(-(10**17), 10**17)
+    return F.when(number, _let(digits, form))
 
 
 def canonical_elements(elements: Column) -> Column:
