@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from axiomill.plans.cut import cut
-from axiomill.plans.skew import HOT_KEYS, salted_join
+from axiomill.plans.skew import salted_join, salts_of
 
 
 def distinctive_terms(bags: DataFrame, min_terms: int = 1, prior: float = 100.0) -> DataFrame:
@@ -27,7 +27,7 @@ def distinctive_terms(bags: DataFrame, min_terms: int = 1, prior: float = 100.0)
     stats = cut(per.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")), "terms")
     scored = kept.df.where(F.size("terms") >= min_terms).select("record", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     scored = scored.groupBy("record", "n_terms", "term").agg(F.count("*").alias("tf"))
-    hot = stats.df.where(F.col("cf") > n / HOT_KEYS).select("term")
+    hot = salts_of(stats.df, "term", "cf", n)
     both = salted_join(scored, stats.df, "term", hot)
     a = F.lit(prior) * F.col("cf") / F.lit(n)
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Where the box keeps the ranks of a public byte-level tokenizer; any rank file of the same form will do.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The ranks of a public byte-level tokenizer; any rank file of the same form will do. The environment may name another.
+RANKS = os.environ.get("AXIOMILL_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 # Fixed value: the published pattern that splits a text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,6 +29,11 @@ def _counter(handle, pattern: str):
     return run
 
 
+def source_name(source: str) -> Column:
+    """A source's name trimmed and in lower case, inner blanks as one; null where nothing is left."""
+    return F.nullif(F.lower(F.trim(F.regexp_replace(source, r"[\s]+", " "))), F.lit(""))
+
+
 def token_counts(docs: DataFrame, doc: str, source: str, text: str, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """``(doc, source, tokens)`` of every row with text; whole texts are encoded, with no shuffle.
 
@@ -36,7 +42,6 @@ def token_counts(docs: DataFrame, doc: str, source: str, text: str, ranks: str =
     """
     with open(ranks, "rb") as f:
         handle = docs.sparkSession.sparkContext.broadcast(f.read())
-    name = F.nullif(F.lower(F.trim(F.regexp_replace(source, r"[\s]+", " "))), F.lit(""))
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), name.alias("source"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), source_name(source).alias("source"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").rlike(r"\S"))
     return rows.mapInArrow(_counter(handle, pattern), "doc bigint, source string, tokens bigint")
