@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from axiomill.plans.cut import cut
 from axiomill.plans.skew import union_all
 
 #: Maximal runs of letters and digits.
@@ -60,16 +61,27 @@ def _whole(test: np.ndarray, zone: np.ndarray) -> int:
     return -1
 
 
-def _common(text: np.ndarray, hit: np.ndarray, shortest: int) -> tuple[list[int], list[int], int]:
+def _common(text: np.ndarray, hit: np.ndarray, shortest: int, most: int) -> tuple[list[int], list[int], int]:
     """The text's words under its windows of ``shortest`` words at the places ``hit``, with their places; zones end in 0.
 
-    Third comes the longest zone's length.
+    Of zones that read the same the first ``most`` are given. Third comes the longest zone's length.
     """
     edge = np.zeros(len(text) + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + shortest, -1)
     at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     gaps = np.flatnonzero(np.diff(at) > 1) + 1
+    if len(gaps) >= most:
+        zones, met = np.split(at, gaps), defaultdict(int)
+        kept = []
+        for z in zones:
+            key = text[z].tobytes()
+            met[key] += 1
+            if met[key] <= most:
+                kept.append(z)
+        if len(kept) < len(zones):
+            at = np.concatenate(kept)
+            gaps = np.cumsum([len(z) for z in kept])[:-1]
     longest = int(np.diff(np.concatenate([[0], gaps, [len(at)]])).max())
     return np.append(np.insert(text[at], gaps, 0), 0).tolist(), np.append(np.insert(at, gaps, -1), -1).tolist(), longest
 
@@ -90,7 +102,8 @@ def tile(test: np.ndarray, text: np.ndarray, shortest: int, hashes: np.ndarray |
     if stop - first == len(hit) + shortest - 1 and text[first:stop].all() and (p := _whole(test, text[first:stop])) >= 0:
         # the only zone lies in the test as a whole: it is the one tile
         return [(stop - first, p, first)]
-    t_ids, places, longest = _common(text, hit, shortest)
+    # each tile takes ``shortest`` words of the test, so of many equal zones only so many can be used, the first ones
+    t_ids, places, longest = _common(text, hit, shortest, len(test) // shortest + 1)
     p_ids = test.tolist()
     free_p, free_t = [x != 0 for x in p_ids], [x != 0 for x in t_ids]
     tiles: list[tuple[int, int, int]] = []
@@ -254,10 +267,14 @@ def leaks(
     d = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).dropna()
     found = []
     for k in range(blocks):
-        # a block's size is bounded by block_chars, whatever the test set holds
+        # one block at a time, its size bounded by block_chars, whatever the test set holds
         part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == k)
         handle = spark.sparkContext.broadcast(ItemBlock([(r["i"], r["p"]) for r in part.collect()], shortest if seed is None else seed))
-        found.append(d.mapInArrow(_search(handle, shortest), "doc bigint, item bigint, longest int, covered int, n_words int, tiles int"))
+        rows = d.mapInArrow(_search(handle, shortest), "doc bigint, item bigint, longest int, covered int, n_words int, tiles int")
+        if blocks > 1:
+            rows = cut(rows, "leaks").df
+            handle.destroy()
+        found.append(rows)
     out = union_all(found)
     coverage = F.col("covered") / F.col("n_words")
     return out.withColumns({"coverage": coverage, "leaked": (F.col("longest") >= min_run) | (coverage >= min_coverage)})
