@@ -138,11 +138,47 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture(spark, d).rows
 
 
+# the same queue with sizes in characters, which SQL can count
+_QUEUE = """t AS (SELECT lower(trim(regexp_replace(source_name, '\\s+', ' ', 'g'))) AS source, sum(target_weight) AS w, max(coalesce(max_repeats, 1)) AS r
+  FROM mix_targets WHERE target_weight > 0 AND NOT isnan(target_weight) AND source_name IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id AS doc, lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS source, length(text) AS tokens, ('0x' || substr(md5('17:' || doc_id), 1, 15))::BIGINT AS slot
+  FROM documents WHERE regexp_matches(text, '\\S')),
+n AS (SELECT sum(tokens)::BIGINT AS total FROM d),
+q AS (SELECT d.*, w, r, sum(tokens) OVER (PARTITION BY source ORDER BY slot, doc) AS done, sum(tokens) OVER (PARTITION BY source) AS size FROM d JOIN t USING (source)),
+c AS (SELECT *, unnest(range(1, r + 1)) AS copy FROM q),
+f AS (SELECT doc, source, copy, tokens, ((copy - 1) * size + done)::DOUBLE / w AS finish FROM c),
+p AS (SELECT *, sum(tokens) OVER (ORDER BY finish, source, copy, doc)::BIGINT AS position FROM f)"""
+
+
+def _by_length(spark: SparkSession, d: str) -> mixing.Mixture:
+    t = table(spark, d, "documents").where(F.col("text").rlike(r"\S"))
+    counts = t.select(F.col("doc_id").alias("doc"), tokens.source_name("source").alias("source"), F.length("text").cast("long").alias("tokens"))
+    return mixing.Mixture(counts, table(spark, d, "mix_targets"), "source_name", "target_weight", "max_repeats")
+
+
+@query(f"WITH {_QUEUE} SELECT doc, source, copy, tokens, finish, position FROM p, n WHERE position <= total")
+def p7_mixture_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture with sizes in characters."""
+    return _by_length(spark, d).rows
+
+
+@query(f"""WITH {_QUEUE}, s AS (SELECT source, sum(tokens)::BIGINT AS size FROM d GROUP BY source),
+g AS (SELECT source, sum(tokens) FILTER (position <= total)::BIGINT AS used, count(*) FILTER (position <= total) AS used_docs FROM p, n GROUP BY source),
+a AS (SELECT t.source, w, r, coalesce(size, 0) AS size, coalesce(used, 0) AS used, coalesce(used_docs, 0) AS used_docs FROM t LEFT JOIN s USING (source) LEFT JOIN g USING (source))
+SELECT source, round(w / sum(w) OVER (), 9) AS target_share, round(used / sum(used) OVER (), 9) AS share, used, used_docs, size, size * r AS cap, size * r < w / sum(w) OVER () * total AS short FROM a, n""")
+def p7_shares_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each wanted source, in characters."""
+    r = _by_length(spark, d).report()
+    return r.select("source", F.round("target_share", 9).alias("target_share"), F.round("share", 9).alias("share"), "used", "used_docs", "size", "cap", "short")
+
+
 # --- 8: text quality --------------------------------------------------------------------------------------------------
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_quality(table(spark, d, "documents"), "doc_id", "text")
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, "doc_id", "text", table(spark, d, "labels"), "doc_id", "kind")
+    return quality.text_quality(docs, "doc_id", "text", model)
 
 
 @query()
@@ -155,3 +191,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     """All figures of every document with text."""
     return _quality(spark, d).withColumnRenamed("doc", "doc_id")
+
+
+_WORD_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in quality.VOCABULARY) + "]"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]', '', 'g') AS solid,
+  list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\x{{2028}}\\x{{2029}}]'), lambda l: regexp_replace(l, '[\\s\\p{{Z}}]+$', '')), lambda l: l <> '') AS ls FROM documents),
+n AS (SELECT *, length(array_to_string(w, '')) AS letters FROM t WHERE solid <> '')
+SELECT doc_id, len(w) AS n_words, round(CASE WHEN len(w) > 0 THEN letters / len(w) ELSE 0 END, 6) AS mean_word_length, round((length(solid) - letters) / length(solid), 6) AS symbol_ratio,
+round(len(list_filter(ls, lambda l: contains('.!?:;…', right(l, 1)))) / len(ls), 6) AS punctuated_lines,
+round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains({_WORD_LIST}, lower(x)))) / len(w) ELSE 0 END, 6) AS common_words FROM n""")
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The basic counts of every document with text."""
+    rows = _quality(spark, d)
+    shares = ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
+    return rows.select(F.col("doc").alias("doc_id"), "n_words", *[F.round(c, 6).alias(c) for c in shares])

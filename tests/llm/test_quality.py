@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from axiomill.llm.quality import PROFILES, divergences, runs, statistics, text_quality, token_counts
+from axiomill.llm.quality import FUNCTION_WORDS, LANGUAGES, PROFILES, COMMON, divergences, fit, languages, runs, start, statistics, text_quality, token_counts
 
 PROSE = "When a rule repeats its premise, the broad clause below it must be checked too. We often found that the relation is empty, but the file did not change. "
 WORDS = "rule clause premise relation file index parser term broad empty".split()
@@ -42,14 +42,62 @@ def test_repeated_sentences_are_no_prose():
 
 
 def test_divergence_is_a_metric_of_profiles():
-    d = divergences(np.array(list(PROFILES.values())) * 1000)
-    assert np.allclose(np.diag(d), 0, atol=1e-3) and (d >= -1e-12).all() and (d <= 1 + 1e-9).all()
+    """A long run drawn from a profile is nearest to it, and no two are farther apart than one bit."""
+    m = start()
+    counts = np.round(m.shares * 100_000)
+    for k in range(len(LANGUAGES)):
+        words = [{i: round(share * n) for i, share in enumerate(m.words[k]) if round(share * n)} for n in counts[:, 0]]
+        d = divergences(counts, words, m, np.full(len(counts), k))
+        prose = np.array([kind == "prose" for kind, _ in PROFILES])
+        assert np.allclose(np.diag(d)[prose], 0, atol=1e-2) and (d >= -1e-9).all() and (d <= 1 + 1e-9).all()
+        assert (d.argmin(axis=1) == np.arange(len(d)))[prose].all()
+
+
+def test_divergence_by_its_definition():
+    """Against the plain sum over all words and classes."""
+    m = start()
+    text = "The rule of the file is not in it, but 12 of them were Broad (x)."
+    n, words, *_ = token_counts(text)
+    got = divergences(np.array([n], float), [words], m, np.array([0]))[0]
+    size = sum(n)
+    for s, (kind, _) in enumerate(PROFILES):
+        v = m.words[0] if kind == "prose" else m.words.mean(axis=0)
+        q = np.concatenate([m.shares[s][0] * v, m.shares[s][1:]])
+        c = np.zeros(len(q))
+        for i, k in words.items():
+            c[i] = k
+        c[len(v) :] = n[1:]
+        p = (c + 20 * q) / (size + 20)
+        mid = (p + q) / 2
+        want = sum(x * np.log2(x / y) for a in (p, q) for x, y in zip(a, mid) if x > 0) / 2
+        assert abs(got[s] - want) < 1e-9
+
+
+def test_each_language_has_its_own_words():
+    texts = {"en": "When the rule is not broad we found that it was there.", "de": "Wenn die Regel nicht gilt, haben wir sie auch noch mit der Datei.", "fr": "Quand la règle est vide, nous avons dans le fichier une autre.", "es": "La regla es abierta, pero no vale para la clase y hay una más."}
+    got = languages([token_counts(t)[1] for t in texts.values()], start())
+    assert [LANGUAGES[k] for k in got] == list(texts) == list(FUNCTION_WORDS)
+    assert [r["language"] for r in statistics([t + " " + t.replace("a", "o") for t in texts.values()])] == list(texts)
+
+
+def test_fit_moves_profiles_towards_the_labelled_texts(spark):
+    docs = [(i, prose(20 + i)) for i in range(30)] + [(100 + i, "~~ rule ~~ FooBar12 ~~ term\n" * 9) for i in range(30)] + [(500, None), (501, " ")]
+    labels = [(i, "prose") for i in range(30)] + [(100 + i, " List") for i in range(30)] + [(0, "junk"), (500, "prose"), (501, "list"), (None, "list"), (3, None), (7, "prose"), (900, "code"), (5, "poem")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    y = spark.createDataFrame(labels, "doc_id bigint, kind string")
+    m, first = fit(d, "doc_id", "text", y, "doc_id", "kind"), start()
+    assert np.allclose(m.shares.sum(axis=1), 1) and np.allclose(m.words.sum(axis=1), 1)
+    assert m.words[0][COMMON["when"]] > 2 * first.words[0][COMMON["when"]] and np.allclose(m.words[1], first.words[1])
+    again = fit(d, "doc_id", "text", y, "doc_id", "kind")
+    assert (again.shares == m.shares).all() and (again.words == m.words).all()
+    none = fit(d, "doc_id", "text", y.limit(0), "doc_id", "kind")
+    assert np.allclose(none.shares, first.shares)
 
 
 def test_counts():
-    n, words, letters, size = token_counts("The Foo-12 is, ok (x).")
+    n, common, words, letters, size = token_counts("The Foo-12 is, ok (x).")
     assert words == 6 and letters == 13 and size == 18
-    assert n[0] == 2 and n[4] == 1 and n[6] == 2 and n[5] == 2
+    assert n[0] == 2 == sum(common.values()) and n[4] == 1 and n[6] == 2 and n[5] == 2
     assert [r for r, _ in runs("a b\n\n\nc\r\n(instance X Y)\n  (z)\n")] == ["a b", "c", "(instance X Y)\n  (z)"]
 
 
