@@ -44,7 +44,7 @@ def query(sql: str | None = None):
 
 
 def _st(spark: SparkSession, d: str) -> DataFrame:
-    return store.statements(table(spark, d, "sentences"))
+    return store.stored(table(spark, d, "sentences"), f"{d}/sentences.parquet")
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
@@ -76,9 +76,8 @@ def kb_head_index(spark, d):
 WHERE is_root AND head_kind = 'symbol' AND head IS NOT NULL AND el[2].kind = 'symbol' AND el[2].val IS NOT NULL GROUP BY 1, 2""")
 def kb_subject_index(spark, d):
     """Statements by head and first argument."""
-    first = F.try_element_at("elements", F.lit(2))
-    rows = _st(spark, d).where(store.is_root() & (F.col("head_kind") == "symbol") & F.col("head").isNotNull() & (first["kind"] == "symbol"))
-    return rows.select("head", first["val"].alias("subject")).dropna().groupBy("head", "subject").agg(F.count("*").alias("n"))
+    rows = _st(spark, d).where(store.is_root() & (F.col("head_kind") == "symbol") & F.col("head").isNotNull() & F.col("subject").isNotNull())
+    return rows.groupBy("head", "subject").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ST} SELECT val AS symbol, count(*) AS n, sum(CAST(pos = 0 AS BIGINT))::BIGINT AS as_head, count(DISTINCT sid) AS sentences FROM x WHERE kind = 'symbol' AND val IS NOT NULL GROUP BY val")
@@ -138,16 +137,9 @@ def kb_term_sizes(spark, d):
     return introspect.term_facts(_st(spark, d)).select("sid", "depth", "size", "is_ground")
 
 
-@query(f"WITH {ST} SELECT args[1] AS node, rel AS class_evidence, count(*) AS n FROM fa WHERE rel IN ('heldBy', 'boundTo', 'observedDuring') AND len(args) >= 2 GROUP BY ALL")
+@query(f"WITH {ST} SELECT args[1] AS node, rel AS class_evidence, count(*) AS n FROM fa WHERE len(args) >= 2 GROUP BY ALL")
 def kb_usage_evidence(spark, d):
     """In which relations a symbol stands first, the raw evidence for its class."""
-    f = _facts(spark, d).where(F.col("rel").isin("heldBy", "boundTo", "observedDuring") & (F.size("args") >= 2))
-    return f.groupBy(F.get("args", F.lit(0)).alias("node"), F.col("rel").alias("class_evidence")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {ST} SELECT args[1] AS node, rel AS class_evidence, count(*) AS n FROM fa WHERE len(args) >= 2 GROUP BY ALL")
-def kb_usage_evidence_all(spark, d):
-    """The same over every relation, not only three."""
     f = _facts(spark, d).where(F.size("args") >= 2)
     return f.groupBy(F.get("args", F.lit(0)).alias("node"), F.col("rel").alias("class_evidence")).agg(F.count("*").alias("n"))
 
@@ -194,7 +186,7 @@ def pattern_glob(spark, d):
 @query(f"WITH RECURSIVE {TAX}, s AS (SELECT child AS x, parent AS y FROM ed WHERE rel = 'subclass' UNION SELECT s.x, e.parent FROM s JOIN ed e ON e.child = s.y AND e.rel = 'subclass') SELECT x AS node, count(*) AS n_ancestors FROM s GROUP BY x")
 def tax_ancestor_counts(spark, d):
     """Strict superclasses of every class."""
-    return taxonomy.ancestors(_edges(spark, d)).groupBy(F.col("x").alias("node")).agg(F.count("*").alias("n_ancestors"))
+    return taxonomy.ancestor_counts(_edges(spark, d))
 
 
 @query(f"WITH RECURSIVE {TAX}, s AS (SELECT 'PortableDevice' AS c UNION SELECT e.child FROM s JOIN ed e ON e.parent = s.c AND e.rel = 'subclass') SELECT DISTINCT child AS instance FROM ed WHERE rel = 'instance' AND parent IN (SELECT c FROM s)")
@@ -477,26 +469,13 @@ def dedup_fingerprint(spark, d):
 # --- ingest and runs --------------------------------------------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT DISTINCT file, elements::VARCHAR AS fp FROM axiom_snapshots WHERE snap_no = 1 AND file IS NOT NULL), b AS (SELECT DISTINCT file, elements::VARCHAR AS fp FROM axiom_snapshots WHERE snap_no = 2 AND file IS NOT NULL)
-SELECT coalesce(a.file, b.file) AS file, count(*) FILTER (a.file IS NULL) AS added, count(*) FILTER (b.file IS NULL) AS removed, count(*) FILTER (a.file IS NOT NULL AND b.file IS NOT NULL) AS unchanged
-FROM a FULL JOIN b ON a.file = b.file AND a.fp IS NOT DISTINCT FROM b.fp GROUP BY 1""")
-def source_diff(spark, d):
-    """Statements added, removed and unchanged per file between two deliveries, by fingerprint."""
-    from axiomill.streaming.ingest import diff
-
-    t = table(spark, d, "axiom_snapshots").where("file is not null")
-    fp = F.coalesce(F.xxhash64("elements"), F.lit(0)).alias("fp")
-    got = diff(t.where("snap_no = 1").select("file", fp), t.where("snap_no = 2").select("file", fp))
-    return got.groupBy("file").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "unchanged")])
-
-
 @query("""WITH t AS (SELECT DISTINCT snap_no, file, elements::VARCHAR AS fp FROM axiom_snapshots WHERE file IS NOT NULL AND snap_no IS NOT NULL),
 s AS (SELECT snap_no, lead(snap_no) OVER (ORDER BY snap_no) AS later FROM (SELECT DISTINCT snap_no FROM axiom_snapshots WHERE snap_no IS NOT NULL)),
 a AS (SELECT later AS snap_no, file, fp FROM t JOIN s USING (snap_no) WHERE later IS NOT NULL), b AS (SELECT * FROM t WHERE snap_no > (SELECT min(snap_no) FROM s))
 SELECT coalesce(a.snap_no, b.snap_no) AS snap_no, coalesce(a.file, b.file) AS file, count(*) FILTER (a.file IS NULL) AS added, count(*) FILTER (b.file IS NULL) AS removed, count(*) FILTER (a.file IS NOT NULL AND b.file IS NOT NULL) AS unchanged
 FROM a FULL JOIN b ON a.snap_no = b.snap_no AND a.file = b.file AND a.fp IS NOT DISTINCT FROM b.fp GROUP BY 1, 2""")
-def source_diff_all(spark, d):
-    """The same for every pair of consecutive deliveries; snap_no is the later one."""
+def source_diff(spark, d):
+    """Statements added, removed and unchanged per file, by fingerprint, between every two consecutive deliveries; snap_no is the later."""
     from axiomill.streaming.ingest import diff
 
     t = table(spark, d, "axiom_snapshots").where("snap_no is not null")

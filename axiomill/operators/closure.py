@@ -12,7 +12,7 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """All pairs ``(x, y)`` joined by one or more of ``edges`` (x, y), by squaring: log2 of the longest path in rounds.
 
     Only paths that grew in the last round are joined again. On a cycle the pairs (x, x) are there too. Null ends are
-    ignored.
+    ignored. Rounds that don't suffice are an error, here and below.
     """
     all_ = cut(edges.select("x", "y").dropna().distinct(), "closure", n=F.count("*"))
     delta, steps = all_.df, []
@@ -22,13 +22,13 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         fresh = cut(left.unionByName(right).distinct().join(all_.df, ["x", "y"], "left_anti"), "fresh", n=F.count("*"))
         if not fresh.seen["n"]:
             fresh.drop()
-            break
+            return all_.df
         both = cut(all_.df.unionByName(fresh.df), "closure")
         all_.drop()
         for s in steps:
             s.drop()
         all_, delta, steps = both, fresh.df, [fresh]
-    return all_.df
+    raise ValueError(f"the closure isn't complete after {max_rounds} rounds")
 
 
 #: Links followed between two written steps of ``reach``.
@@ -47,7 +47,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataF
     last = 0
     for _ in range(max_rounds):
         if not known[-1].seen["n"]:
-            break
+            return union_all([f.df for f in known]).where("hops > 0")
         level = known[-1].df.where(F.col("hops") == last)
         levels = []
         for _ in range(STRIDE):
@@ -62,7 +62,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataF
             for f in known:
                 f.drop()
             known = [one]
-    return union_all([f.df for f in known]).where("hops > 0")
+    raise ValueError(f"more lies beyond {max_rounds} rounds")
 
 
 def reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -95,4 +95,6 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         now = after
         if (now.seen["n"], now.seen["s"]) == before:
             break
+    else:
+        raise ValueError(f"components aren't found after {max_rounds} rounds")
     return alone.join(now.df.select(F.col("v").alias("node"), F.col("u").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))

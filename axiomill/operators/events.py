@@ -37,9 +37,15 @@ def holds_at(happens: DataFrame, effects: DataFrame, cells: DataFrame, days: Col
     return got.where("asked").select("fluent", "time", F.coalesce("held", F.lit(False)).alias("holds"))
 
 
-def order_chain(points: DataFrame) -> DataFrame:
-    """``time, next`` in lexical order, where no order axioms are given."""
-    return points.select("time").distinct().select("time", F.lead("time").over(W.orderBy("time")).alias("next"))
+def order_chain(points: DataFrame, lead: int = 2) -> DataFrame:
+    """``time, next`` in lexical order, where no order axioms are given.
+
+    Times are taken in buckets by their first ``lead`` letters; the last of a bucket is followed by the first of the next.
+    """
+    t = points.select("time").where("time is not null").distinct().withColumn("b", F.left("time", F.lit(lead)))
+    firsts = t.groupBy("b").agg(F.min("time").alias("first")).select("b", F.lead("first").over(W.orderBy("b")).alias("after"))
+    within = t.select("b", "time", F.lead("time").over(W.partitionBy("b").orderBy("time")).alias("n"))
+    return within.join(firsts, "b").select("time", F.coalesce("n", "after").alias("next"))
 
 
 def network(rel: DataFrame) -> DataFrame:
@@ -67,19 +73,27 @@ def network(rel: DataFrame) -> DataFrame:
 
 
 def temporal_closure(points: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``(x, y, strict)`` over all paths: strict if some path has a strict step. By squaring, so log rounds."""
+    """``(x, y, strict)`` over all paths: strict if some path has a strict step.
+
+    By squaring, so log rounds; only pairs that are new or became strict in the last round are joined again. Rounds that
+    don't suffice are an error.
+    """
     best = lambda d: d.groupBy("x", "y").agg(F.bool_or("strict").alias("strict"))
-    now = cut(best(points), "order", n=F.count("*"), s=F.count_if(F.col("strict")))
+    now = cut(best(points.dropna()), "order", n=F.count("*"))
+    delta, left = now.df, now.seen["n"]
     for _ in range(max_rounds):
+        if not left:
+            return now.df
         a = now.df
-        two = a.join(a.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("strict").alias("s")), "y").select("x", F.col("z").alias("y"), (F.col("strict") | F.col("s")).alias("strict"))
-        after = cut(best(a.unionByName(two)), "order", n=F.count("*"), s=F.count_if(F.col("strict")))
-        if after.seen == now.seen:
-            now.drop()
-            return after.df
+        after = a.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("strict").alias("s"))
+        grown = delta.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("strict").alias("s"))
+        two = delta.join(after, "y").unionByName(a.join(grown, "y")).select("x", F.col("z").alias("y"), (F.col("strict") | F.col("s")).alias("strict"))
+        had = a.select("x", "y", F.col("strict").alias("had"))
+        fresh = cut(best(two).join(had, ["x", "y"], "left").where("had is null or (strict and not had)").drop("had"), "grown", n=F.count("*"))
+        both = cut(best(a.unionByName(fresh.df)), "order")
         now.drop()
-        now = after
-    return now.df
+        now, delta, left = both, fresh.df, fresh.seen["n"]
+    raise ValueError(f"the order isn't closed after {max_rounds} rounds")
 
 
 def consistent(order: DataFrame) -> bool:

@@ -42,12 +42,13 @@ def rank(query: str, symbol: Column, source: Column, offset: Column) -> Column:
     return name + F.coalesce(_case(source, SOURCE_SCORE), F.lit(0.0)) + F.when(offset == 0, 4.0).otherwise(2.0 / (1.0 + offset))
 
 
-def search(d: DataFrame, query: str, language: str | None = None, symbols: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def search(d: DataFrame, query: str, language: str | None = None, symbols: DataFrame | None = None, limit: int | None = None, kinds: DataFrame | None = None, kind: str | None = None) -> DataFrame:
     """Hits of a case-insensitive substring: ``symbol, source, sid, rank, preview`` in order of rank, symbol, sid.
 
     The best hit stands for its symbol. ``symbols`` (symbol) adds those whose name holds the query and that have no hit
     in a text; their sid is null. The preview is the symbol's documentation, else termFormat, else format. An empty query
-    finds nothing. ``limit`` keeps the first rows only.
+    finds nothing. ``limit`` keeps the first rows only. ``kind`` keeps symbols of one kind by ``kinds`` (node, kinds), where
+    ``relation`` takes predicates and functions too. Previews are gathered for the symbols found only.
     """
     q = query.lower()
     rows = d if language is None else d.where(F.col("language") == language)
@@ -61,8 +62,12 @@ def search(d: DataFrame, query: str, language: str | None = None, symbols: DataF
         named = symbols.select("symbol").where(F.lower("symbol").contains(q)).distinct().join(found, "symbol", "left_anti")
         extra = named.select("symbol", F.lit("name").alias("source"), F.lit(None).cast("bigint").alias("sid"), rank(q, F.col("symbol"), F.lit("format"), F.lit(0)).alias("rank"))
         found = found.unionByName(extra)
+    if kind is not None:
+        want = ["relation", "predicate", "function"] if kind == "relation" else [kind]
+        of_kind = kinds.where(F.arrays_overlap("kinds", F.array(*map(F.lit, want)))).select(F.col("node").alias("symbol"))
+        found = found.join(of_kind, "symbol", "left_semi")
     tier = _case(F.col("rel"), PREVIEW)
-    shown = rows.groupBy("symbol").agg(F.min(F.struct(tier.alias("t"), "sid", "text")).alias("p")).select("symbol", F.col("p.text").alias("preview"))
+    shown = rows.join(found.select("symbol").distinct(), "symbol", "left_semi").groupBy("symbol").agg(F.min(F.struct(tier.alias("t"), "sid", "text")).alias("p")).select("symbol", F.col("p.text").alias("preview"))
     out = found.join(shown, "symbol", "left").orderBy(F.desc("rank"), "symbol", "sid")
     return out if limit is None else out.limit(limit)
 

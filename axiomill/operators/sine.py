@@ -5,9 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from axiomill.plans.cut import cut
+from axiomill.plans.prefix import running_sum
 from axiomill.plans.skew import union_all
 
 # Slack of the trigger's comparison, and the largest tolerance that is tried.
@@ -102,19 +103,25 @@ def activation(use: DataFrame, seeds: DataFrame, top: float = MAX_TOLERANCE) ->
         best = cut(best.unionByName(front).groupBy("symbol").agg(F.min("t").alias("t")), "best").df
 
 
+#: Tolerances of one bucket of the running count.
+_STEP = 1 / 64
+
+
 def breakpoints(use: DataFrame, seeds: DataFrame, top: float = MAX_TOLERANCE) -> DataFrame:
     """``t, n``: each tolerance at which the selection grows, and its size from there on."""
-    per = activation(use, seeds, top).groupBy("t").agg(F.count("*").alias("k"))
-    return per.select("t", F.sum("k").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)).alias("n"))
+    return _sizes(activation(use, seeds, top))
+
+
+def _sizes(a: DataFrame) -> DataFrame:
+    per = a.groupBy("t").agg(F.count("*").alias("k")).withColumn("bucket", F.floor(F.log2("t") / _STEP))
+    return running_sum(per, [], "bucket", ["t"], "k", "n").select("t", "n")
 
 
 def within_budget(use: DataFrame, seeds: DataFrame, budget: int = 2000) -> DataFrame:
     """``sid, t``: the largest selection of at most ``budget`` axioms over all tolerances up to 64; if even the floor
     (tolerance 1) is larger, the floor."""
     a = cut(activation(use, seeds), "activation").df
-    per = a.groupBy("t").agg(F.count("*").alias("k"))
-    run = per.select("t", F.sum("k").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)).alias("n"))
-    edge = run.where(F.col("n") <= budget).agg(F.max("t").alias("t")).first()["t"]
+    edge = _sizes(a).where(F.col("n") <= budget).agg(F.max("t").alias("t")).first()["t"]
     return a.where(F.col("t") <= max(1.0, edge or 1.0))
 
 
@@ -125,6 +132,9 @@ def structural_scores(use: DataFrame, frontier: DataFrame, hub: int = 1500) -> D
 
 
 def rescue(use: DataFrame, frontier: DataFrame, allowed: DataFrame, top_k: int = 32, scan: int = 16, hub: int = 1500) -> DataFrame:
-    """The ``top_k`` best-scored axioms among the ``allowed`` (sid) ones of the best ``top_k * scan``; ties by sid."""
+    """The ``top_k`` best-scored axioms among the ``allowed`` (sid) ones of the best ``top_k * scan``; ties by sid.
+
+    That only so many are looked at is part of the selection: what is not allowed uses up its place.
+    """
     best = structural_scores(use, frontier, hub).orderBy(F.desc("score"), "sid").limit(top_k * scan)
     return best.join(allowed.select("sid").distinct(), "sid", "left_semi").orderBy(F.desc("score"), "sid").limit(top_k)

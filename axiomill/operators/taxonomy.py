@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from axiomill.functions.text import name_or_null
 from axiomill.operators.closure import closure, reach
+from axiomill.operators.hierarchy import SEGMENT, hierarchy
 from axiomill.plans.cut import cut
+from axiomill.plans.skew import union_all
 
 
 @dataclass(frozen=True)
@@ -23,14 +25,16 @@ class Names:
     relation: str = "Relation"
     predicate: str = "Predicate"
     function: str = "Function"
+    cls: str = "Class"
+    formula: str = "Formula"
     arities: tuple[tuple[str, int], ...] = (
         ("BinaryRelation", 2), ("TernaryRelation", 3), ("QuaternaryRelation", 4), ("QuintaryRelation", 5), ("VariableArityRelation", -1),
     )
 
 
-def edges(tax_edges: DataFrame, scope: str | None = None) -> DataFrame:
-    """``child, parent, rel`` of a table of links, trimmed, distinct, of one scope or all; null ends are left out."""
-    rows = tax_edges if scope is None else tax_edges.where(F.array_contains("scopes", scope))
+def edges(tax_edges: DataFrame, *scopes: str) -> DataFrame:
+    """``child, parent, rel`` of a table of links, trimmed, distinct, of any of the ``scopes`` or all; null ends are left out."""
+    rows = tax_edges if not scopes else tax_edges.where(F.arrays_overlap("scopes", F.array(*map(F.lit, scopes))))
     return rows.select(name_or_null("to_sym").alias("child"), name_or_null("from_sym").alias("parent"), name_or_null("rel").alias("rel")).dropna(subset=["child", "parent"]).distinct()
 
 
@@ -39,6 +43,51 @@ def ancestors(e: DataFrame, rels: tuple[str, ...] | None = ("subclass",)) -> Dat
     return closure((e if rels is None else e.where(F.col("rel").isin(*rels))).select(F.col("child").alias("x"), F.col("parent").alias("y")))
 
 
+def _several_parents(e: DataFrame) -> bool:
+    links = e.where("child <> parent").groupBy("child").agg(F.min("parent").alias("a"), F.max("parent").alias("b"))
+    return not links.where("a <> b").isEmpty()
+
+
+def reaches(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (x, y) of which y lies at or above x over any link; x = y counts, known or not.
+
+    Where no symbol has two parents, as in a tree of kinds, a pair is settled by the intervals of one hierarchy: y stands
+    on a chain that the way up from x runs through, no later than it leaves there. What lies on or below a cycle, and any
+    taxonomy with several parents, is walked upwards from the asked x.
+    """
+    asked = cut(pairs.select("x", "y").dropna().distinct(), "asked").df
+    own = asked.where("x = y")
+    other = asked.where("x <> y")
+    up = e.select(F.col("child").alias("x"), F.col("parent").alias("y"))
+    if _several_parents(e):
+        far = reach(up, other.select(F.col("x").alias("seed")).distinct()).select(F.col("seed").alias("x"), F.col("node").alias("y"))
+        return own.unionByName(other.join(far, ["x", "y"], "left_semi"))
+    h = hierarchy(e, "child", "parent")
+    way = F.concat(F.array(F.struct("chain", F.col("pos").alias("upto"))).cast(SEGMENT), "segs")
+    low = h.where("state = 'tree'").select(F.col("node").alias("x"), way.alias("way"))
+    high = h.where("state = 'tree'").select(F.col("node").alias("y"), F.col("chain").alias("c"), F.col("pos").alias("p")).join(other.select("y").distinct(), "y", "left_semi")
+    hit = other.join(low, "x").join(high, "y").where(F.exists("way", lambda s: (s["chain"] == F.col("c")) & (s["upto"] >= F.col("p")))).select("x", "y")
+    stuck = h.where("state <> 'tree'").select(F.col("node").alias("x"))
+    ringed = other.join(stuck, "x", "left_semi")
+    far = reach(up.join(stuck, "x", "left_semi"), ringed.select(F.col("x").alias("seed")).distinct()).select(F.col("seed").alias("x"), F.col("node").alias("y"))
+    return union_all([own, hit, ringed.join(far, ["x", "y"], "left_semi")])
+
+
+def ancestor_counts(e: DataFrame, rels: tuple[str, ...] | None = ("subclass",)) -> DataFrame:
+    """``node, n_ancestors``: how many nodes lie strictly above each that has any, over links of ``rels`` (None: all).
+
+    In a tree that is the depth; only what lies on or below a cycle, or a taxonomy with several parents, needs its pairs.
+    A node on a cycle is above itself.
+    """
+    some = e if rels is None else e.where(F.col("rel").isin(*rels))
+    if _several_parents(some):
+        return ancestors(some, None).groupBy(F.col("x").alias("node")).agg(F.count("*").alias("n_ancestors"))
+    h = hierarchy(some, "child", "parent")
+    stuck = h.where("state <> 'tree'").select(F.col("node").alias("child"))
+    rest = ancestors(some.join(stuck, "child", "left_semi"), None).groupBy(F.col("x").alias("node")).agg(F.count("*").alias("n_ancestors"))
+    return h.where("depth > 0").select("node", F.col("depth").alias("n_ancestors")).unionByName(rest)
+
+
 def below(e: DataFrame, tops: list[str]) -> DataFrame:
     """``top, node``: all that reach one of ``tops`` over any link, itself included. One walk down from all tops at once."""
     down = e.select(F.col("parent").alias("x"), F.col("child").alias("y"))
