@@ -41,10 +41,11 @@ def ask(use: DataFrame, kif: DataFrame, query: str, hypotheses: list[str] = (),
     names = sorted(symbols_of(roots[0]) | {s for h in held for s in symbols_of(h)})
     seeds = use.sparkSession.createDataFrame([(s,) for s in names], "symbol string")
     rows = kif if exclude is None else kif.join(exclude.select("sid"), "sid", "left_anti")
-    best = Answer("Unknown", tolerance, 0)
+    best, seen = Answer("Unknown", tolerance, 0), 0
     for _ in range(attempts):
         chosen = sine.select(use, seeds, tolerance, cap=MAX_AXIOMS)
         texts = rows.join(chosen, "sid").orderBy("wave", "sid").limit(MAX_AXIOMS + 1).select("kif").collect()
+        seen = len(texts[:MAX_AXIOMS])
         given = [y for r in texts[:MAX_AXIOMS] for n in parse(r["kif"])[0] for y in axioms(fold_arithmetic(n))]
         try:
             r = prove([*given, *held], roots[0], max_steps)
@@ -54,18 +55,24 @@ def ask(use: DataFrame, kif: DataFrame, query: str, hypotheses: list[str] = (),
         if r.status == "Proved" or len(texts) > MAX_AXIOMS:
             break
         tolerance *= 2
-    if best.status == "Disproved" and rows.count() > best.n_axioms:
+    # statements are compared with statements: one may have become several axioms
+    if best.status == "Disproved" and rows.count() > seen:
         best.status = "Unknown"
     return best
 
 
 def consistent(use: DataFrame, kif: DataFrame, seeds: list[str], tolerance: float = 2.0, max_steps: int = 2000) -> Answer:
-    """Proved means that the axioms selected for the seeds contradict each other; the steps cite them."""
+    """Proved means that the axioms selected for the seeds contradict each other; the steps cite them. Disproved, that
+    all of ``kif`` was looked at and nothing contradicts; over a part of it the answer is Unknown."""
     chosen = sine.select(use, use.sparkSession.createDataFrame([(s,) for s in seeds], "symbol string"), tolerance, cap=MAX_AXIOMS)
     texts = kif.join(chosen, "sid").orderBy("wave", "sid").limit(MAX_AXIOMS).select("kif").collect()
     given = [y for r in texts for n in parse(r["kif"])[0] for y in axioms(n)]
-    r = prove(given, None, max_steps)
-    return Answer(r.status, tolerance, len(given), r)
+    try:
+        r = prove(given, None, max_steps)
+    except TooManyClauses:
+        r = Result("Unknown")
+    status = "Unknown" if r.status == "Disproved" and kif.count() > len(texts) else r.status
+    return Answer(status, tolerance, len(given), r)
 
 
 def beliefs(kif: DataFrame, agent: str, relation: str = "believes") -> DataFrame:

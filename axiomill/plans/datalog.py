@@ -236,8 +236,12 @@ def bind(df: DataFrame, atom: Atom) -> DataFrame:
     return rows.select(*[F.col(c).alias(v) for v, c in first.items()]) if first else rows.select(F.lit(True).alias("?")).limit(1)
 
 
-def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict[str, DataFrame], products: bool) -> DataFrame:
-    """The joined body: the changed literal first, literals sharing variables next, comparisons and negations last."""
+def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict[str, DataFrame], most: int | None) -> DataFrame:
+    """The joined body: the changed literal first, literals sharing variables next, comparisons and negations last.
+
+    Literals without a shared variable are a product: refused without ``most``, and beyond so many rows with it, which are
+    counted before the product is made.
+    """
     pos = [(i, b.atom) for i, b in enumerate(r.body) if not b.negated and b.atom.pred not in COMPARISONS]
     pos.sort(key=lambda x: x[0] != delta)
     out: DataFrame | None = None
@@ -250,8 +254,11 @@ def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict
             out = rows
         else:
             on = sorted(set(out.columns) & set(rows.columns))
-            if not on and not products and atom.vars and set(out.columns) != {"?"}:
-                raise ProgramError(f"{r.head}: literals without a shared variable are a product; give max_tuples to allow it")
+            if not on and atom.vars and set(out.columns) != {"?"}:
+                if most is None:
+                    raise ProgramError(f"{r.head}: literals without a shared variable are a product; give max_tuples to allow it")
+                if out.limit(most + 1).count() * rows.limit(most + 1).count() > most:
+                    raise ProgramError(f"overflow: a product of more than {most} tuples")
             out = out.join(rows, on) if on else out.join(rows, how="cross")
     for b in r.body:
         if b.atom.pred in COMPARISONS:
@@ -266,10 +273,10 @@ def _body(r: Rule, frames: dict[str, DataFrame], delta: int | None, deltas: dict
     return out
 
 
-def fire(r: Rule, frames: dict[str, DataFrame], delta: int | None = None, deltas: dict[str, DataFrame] | None = None, cite: bool = False, products: bool = False) -> DataFrame:
+def fire(r: Rule, frames: dict[str, DataFrame], delta: int | None = None, deltas: dict[str, DataFrame] | None = None, cite: bool = False, most: int | None = None) -> DataFrame:
     """Head tuples of one rule; with ``cite`` also the rule's sid and the facts it used. Literals that share no variable
-    are refused unless ``products`` allows them."""
-    body = _body(r, frames, delta, deltas or {}, products)
+    are refused unless ``most`` allows so many rows of them."""
+    body = _body(r, frames, delta, deltas or {}, most)
     value = lambda a: F.col(a) if a.startswith("?") else F.lit(a)
     cols = [value(a).alias(f"a{i}") for i, a in enumerate(r.head.args)]
     if not cite:
@@ -316,14 +323,14 @@ def evaluate(spark: SparkSession, p: Program, facts: dict[str, DataFrame], max_t
             for r in rules:
                 if k == 0:
                     if r.body:
-                        parts[r.head.pred].append(fire(r, frames, cite=cite, products=max_tuples is not None))
+                        parts[r.head.pred].append(fire(r, frames, cite=cite, most=max_tuples))
                     else:
                         row = spark.createDataFrame([r.head.args], ", ".join(f"{c} string" for c in _columns(len(r.head.args))))
                         parts[r.head.pred].append(row.selectExpr("*", f"'{r.sid}' as rule", f"cast(array() as {extra.split('parents ')[1]}) as parents") if cite else row)
                     continue
                 for i, b in enumerate(r.body):
                     if not b.negated and b.atom.pred in deltas:
-                        parts[r.head.pred].append(fire(r, frames, i, deltas, cite, max_tuples is not None))
+                        parts[r.head.pred].append(fire(r, frames, i, deltas, cite, max_tuples))
             found = {}
             for q, ps in parts.items():
                 c = cut(new_of(q, ps), "delta", n=F.count("*"))
@@ -341,6 +348,8 @@ def evaluate(spark: SparkSession, p: Program, facts: dict[str, DataFrame], max_t
                     frames[q] = cut(frames[q], "total").df
                 if cite:
                     proofs[q] = proofs[q].unionByName(d)
+        else:
+            raise ProgramError(f"no fixpoint after {max_rounds} rounds")
     return {q: proofs[q] if cite else frames[q] for q in p.derived}
 
 

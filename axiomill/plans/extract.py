@@ -184,8 +184,9 @@ def rewrite(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-def evaluate_with_equality(spark, p: Program, facts: dict[str, DataFrame], rules: list[Equality], max_merges: int = 16):
-    """(model, merged): fixpoints and merges in turn until nothing more is made equal. Refused with negation in play."""
+def evaluate_with_equality(spark, p: Program, facts: dict[str, DataFrame], rules: list[Equality], max_merges: int = 1000):
+    """(model, merged): fixpoints and merges in turn until nothing more is made equal. Refused with negation in play; an
+    error where ``max_merges`` turns don't suffice."""
     if any(b.negated for r in p.rules for b in r.body):
         raise ProgramError("equality rules need a program without negation")
     held = dict(facts)
@@ -199,6 +200,8 @@ def evaluate_with_equality(spark, p: Program, facts: dict[str, DataFrame], rules
         all_pairs = pairs.df if all_pairs is None else all_pairs.unionByName(pairs.df)
         reps = representatives(all_pairs)
         held = {q: cut(rewrite(d.select(*[c for c in d.columns if c.startswith("a")]), reps), "merged").df for q, d in held.items()}
+    else:
+        raise ProgramError(f"values are still made equal after {max_merges} turns")
     merged = representatives(all_pairs) if all_pairs is not None else spark.createDataFrame([], "node string, rep string")
     return model, merged
 
@@ -206,13 +209,39 @@ def evaluate_with_equality(spark, p: Program, facts: dict[str, DataFrame], rules
 # --- chase ------------------------------------------------------------------------------------------------------------
 
 
-def chase(spark, ex: Extracted, facts: dict[str, DataFrame], rounds: int = 2, max_firings: int | None = None) -> dict[str, DataFrame]:
+class Chased(dict):
+    """A model by predicate; ``complete`` is False where firings were left out."""
+
+    complete = True
+
+
+def _served(rows: DataFrame, cols: dict[str, str], t: Existential, model: dict[str, DataFrame]) -> DataFrame | None:
+    """The firings whose heads some stored tuples fulfil already, constants and repeated variables included; None if none can."""
+    left, groups = list(t.heads), []
+    while left:
+        group = [left.pop(0)]
+        # heads that share a witness must be served together
+        while more := [a for a in left if any(a.vars & b.vars & set(t.witnesses) for b in group)]:
+            group += more
+            left = [a for a in left if a not in more]
+        groups.append(group)
+    for group in groups:
+        if any(a.pred not in model for a in group):
+            return None
+        names = sorted({v for a in group for v in a.vars} - set(t.witnesses))
+        got = fire(Rule(Atom("served", tuple(names) or ("yes",)), tuple(Literal(a) for a in group)), model)
+        rows = rows.join(got.toDF(*[cols[v] for v in names]), [cols[v] for v in names], "left_semi") if names else rows.join(got.limit(1), F.lit(True), "left_semi")
+    return rows
+
+
+def chase(spark, ex: Extracted, facts: dict[str, DataFrame], rounds: int = 2, max_firings: int | None = None) -> Chased:
     """The model with witnesses for existential rules, in a bounded number of rounds.
 
     A witness is named by its rule and the values it depends on, so firing again makes nothing new. A rule fires only
-    where no stored tuple serves its first head already. ``max_firings`` bounds the firings of one rule in a round.
+    where stored tuples don't serve all its heads already. ``max_firings`` bounds the firings of one rule in a round, the
+    first by value; where it bites the result's ``complete`` is False.
     """
-    held = dict(facts)
+    held, complete = dict(facts), True
     for _ in range(rounds):
         model = held | evaluate(spark, ex.program, held)
         grown = False
@@ -221,30 +250,30 @@ def chase(spark, ex: Extracted, facts: dict[str, DataFrame], rounds: int = 2, ma
             if any(q not in model for q in names):
                 continue
             shared = sorted({v for a in t.heads for v in a.vars} - set(t.witnesses))
-            probe = Rule(Atom("fire", tuple(shared) or ("yes",)), t.body)
             cols = {v: f"a{i}" for i, v in enumerate(shared)}
-            rows = fire(probe, model)
-            first = t.heads[0]
-            if first.pred in model:
-                known = [v for v in first.vars if v in cols]
-                at = {v: first.args.index(v) for v in known}
-                if known:
-                    served = model[first.pred].select(*[F.col(f"a{at[v]}").alias(cols[v]) for v in known]).distinct()
-                    rows = rows.join(served, [cols[v] for v in known], "left_anti")
+            rows = fire(Rule(Atom("fire", tuple(shared) or ("yes",)), t.body), model)
+            served = _served(rows, cols, t, model)
+            if served is not None:
+                rows = rows.join(served, rows.columns, "left_anti")
             if max_firings is not None:
-                rows = rows.limit(max_firings)
+                rows = rows.orderBy(*rows.columns).limit(max_firings + 1)
             rows = cut(rows, "firings", n=F.count("*"))
             if not rows.seen["n"]:
                 continue
+            fired = rows.df
+            if max_firings is not None and rows.seen["n"] > max_firings:
+                complete, fired = False, fired.orderBy(*fired.columns).limit(max_firings)
             grown = True
             key = F.concat_ws("|", *[F.col(c) for c in cols.values()]) if cols else F.lit("")
             for a in t.heads:
                 value = lambda x: F.col(cols[x]) if x in cols else F.concat(F.lit(f"_w{t.sid}_{x[1:]}_"), key) if x in t.witnesses else F.lit(x)  # noqa: E731, B023
-                made = rows.df.select(*[value(x).alias(f"a{i}") for i, x in enumerate(a.args)])
+                made = fired.select(*[value(x).alias(f"a{i}") for i, x in enumerate(a.args)])
                 held[a.pred] = made if a.pred not in held else held[a.pred].unionByName(made).distinct()
         if not grown:
             break
-    return held | evaluate(spark, ex.program, held)
+    out = Chased(held | evaluate(spark, ex.program, held))
+    out.complete = complete
+    return out
 
 
 # --- negative answers -------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from dataclasses import dataclass, field
 
 from axiomill.sources.kif import Node, normal_form, op, substitute, variables
@@ -50,10 +51,20 @@ def _term(n: Node) -> Term:
     return (n.val,)
 
 
+def free_variables(n: Node, bound: frozenset[str] = frozenset()) -> list[str]:
+    """Variables that no quantifier of the formula binds, in order of first place."""
+    if n.kind in ("variable", "row"):
+        return [] if n.val in bound else [n.val]
+    if n.head in ("forall", "exists") and len(n.items) == 3:
+        return free_variables(n.items[2], bound | {v.val for v in n.items[1].items})
+    return list(dict.fromkeys(v for x in n.items for v in free_variables(x, bound)))
+
+
 def clausify(n: Node, names: itertools.count | None = None, most: int = 128) -> list[Clause]:
     """Clauses of a formula: implications away, negations inside, existentials by Skolem terms, then distributed.
 
-    Free variables are universal. More than ``most`` clauses raise TooManyClauses.
+    Free variables are universal. A disjunction that would spread into more than ``most`` clauses has its conjunctions
+    named by new predicates first; still more raise TooManyClauses.
     """
     names = names or itertools.count(1)
 
@@ -85,23 +96,29 @@ def clausify(n: Node, names: itertools.count | None = None, most: int = 128) ->
             return skolem(substitute(x.items[2], made), scope)
         return x
 
+    extra: list[tuple[tuple[bool, Term], ...]] = []
+
+    def named(x: Node) -> Node:
+        """A new atom over the free variables, which implies ``x``."""
+        atom = Node("list", "", (Node("symbol", f"def{next(names)}"), *(Node("variable", v) for v in free_variables(x))))
+        extra.extend(spread(op("or", op("not", atom), x)))
+        return atom
+
     def spread(x: Node) -> list[tuple[tuple[bool, Term], ...]]:
         if x.head == "and":
             return [c for y in x.items[1:] for c in spread(y)]
         if x.head == "or":
-            out: list = [()]
-            for y in x.items[1:]:
-                out = [a + b for a in out for b in spread(y)]
-                if len(out) > most:
-                    raise TooManyClauses(len(out))
-            return out
+            parts = [spread(y) for y in x.items[1:]]
+            if math.prod(map(len, parts)) > most:
+                parts = [spread(named(y)) if len(p) > 1 else p for y, p in zip(x.items[1:], parts)]
+            return [sum(c, ()) for c in itertools.product(*parts)]
         if x.head == "not":
             return [((False, _term(x.items[1])),)]
         return [((True, _term(x)),)]
 
-    flat = skolem(normal_form(plain(n)), tuple(variables(n)) if n.head not in ("forall",) else ())
+    flat = skolem(normal_form(plain(n)), tuple(free_variables(n)))
     out = []
-    for c in spread(flat):
+    for c in [*spread(flat), *extra]:
         lits = tuple(dict.fromkeys(c))
         if not any((not s, t) in lits for s, t in lits):
             out.append(Clause(lits))
@@ -290,6 +307,17 @@ def equality_resolvents(lits: tuple):
             yield [(q, _apply(x, s)) for k, (q, x) in enumerate(lits) if k != i]
 
 
+def equality_factors(lits: tuple):
+    """Clauses that make one of two positive equations with unifiable sides out of both: (s = t), (s' = t') give
+    (s = t), (t /= t') under the unifier of s and s'."""
+    eqs = [(i, t) for i, (p, t) in enumerate(lits) if p and t[0] == "equal" and len(t) == 3]
+    for (i, e), (j, f) in itertools.permutations(eqs, 2):
+        for (s, t), (u, v) in itertools.product(((e[1], e[2]), (e[2], e[1])), ((f[1], f[2]), (f[2], f[1]))):
+            if not _var(s) and (m := unify(s, u, {})) is not None and not greater(_apply(t, m), _apply(s, m)):
+                rest = [(p, _apply(x, m)) for k, (p, x) in enumerate(lits) if k != j]
+                yield [*rest, (False, ("equal", _apply(t, m), _apply(v, m)))]
+
+
 def prove(axioms: list[Node], conjecture: Node | None, max_steps: int = 4000, max_literals: int = 8) -> Result:
     """Proved when the axioms and the denied conjecture contradict each other; Disproved when nothing more follows;
     Unknown when the steps run out or a clause had to be left out. The steps of a proof come in order."""
@@ -351,10 +379,19 @@ def prove(axioms: list[Node], conjecture: Node | None, max_steps: int = 4000, ma
         for new in equality_resolvents(given):
             if (k := add(new, (g,), "equality resolution")) is not None:
                 return Result("Proved", proof(k), len(store))
+        for new in equality_factors(given):
+            add(new, (g,), "equality factoring")
         active.append(g)
         left = _rename(given, "'")
         if len(given) == 1 and given[0][0] and given[0][1][0] == "equal" and len(given[0][1]) == 3:
-            units += [(x, y) for x, y in (given[0][1][1:], given[0][1][:0:-1]) if greater(x, y)]
+            fresh = [(x, y) for x, y in (given[0][1][1:], given[0][1][:0:-1]) if greater(x, y)]
+            units += fresh
+            # what is active already gives way to its normal form under the new equation
+            for i in [i for i in active if i != g and fresh]:
+                if any((t[0], *(demodulate(x, fresh) for x in t[1:])) != t for _, t in store[i].literals):
+                    active.remove(i)
+                    if (k := add(store[i].literals, (i, g), "backward demodulation")) is not None:
+                        return Result("Proved", proof(k), len(store))
         for i in active:
             for new in itertools.chain(paramodulants(left, store[i].literals), paramodulants(store[i].literals, left) if i != g else ()):
                 if (k := add(new, (g, i), "paramodulation")) is not None:

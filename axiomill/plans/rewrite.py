@@ -57,13 +57,23 @@ def predicate_variables(n: Node) -> list[str]:
     return list(dict.fromkeys(own + [v for x in n.items for v in predicate_variables(x)]))
 
 
-def instantiate(n: Node, relations: dict[int, list[str]], most: int = MAX_INSTANCES) -> list[Node]:
+class Instances(list):
+    """Formulas; ``cut`` tells that there were more."""
+
+    cut = False
+
+
+def instantiate(n: Node, relations: dict[int, list[str]], most: int = MAX_INSTANCES) -> Instances:
     """The formula with its predicate variables replaced by relations of the number of arguments used, by name; at most
-    ``most`` instances. Without predicate variables it stays alone; without fitting relations nothing is left."""
-    out = [n]
+    ``most`` instances, and ``cut`` says whether that left some out. Without predicate variables it stays alone; without
+    fitting relations nothing is left."""
+    out = Instances([n])
     for v in predicate_variables(n):
         k = _width(n, v)
-        out = [substitute(f, {v: Node("symbol", r)}) for f in out for r in sorted(relations.get(k, []))][:most]
+        made = [substitute(f, {v: Node("symbol", r)}) for f in out for r in sorted(relations.get(k, []))]
+        more = out.cut or len(made) > most
+        out = Instances(made[:most])
+        out.cut = more
     return out
 
 
