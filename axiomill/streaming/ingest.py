@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from axiomill.plans.cut import cut
 
@@ -40,7 +40,8 @@ class Store:
     def load(self, file: str, new: DataFrame, session: str | None = None) -> DataFrame:
         """Take in a file's statements: new ones are added, missing ones removed, at once or, in a session, when it
         commits. Gives the changes. Loading the same content again changes nothing."""
-        changes = cut(diff(self.rows.where(F.col("file") == file), new), "diff").df
+        # each session holds its own rows, so that flushing one leaves what another or the base shares
+        changes = cut(diff(self.view(session).where(F.col("file") == file), new), "diff").df
         fresh = new.join(changes.where("change = 'added'").select("file", "fp"), ["file", "fp"], "left_semi")
         scope = f"session:{session}" if session else "base"
         gone = self.rows.where(F.col("file") == file).join(changes.where("change = 'removed'").select("file", "fp"), ["file", "fp"], "left_semi").select("sid")
@@ -58,14 +59,19 @@ class Store:
         gone = self.pending.pop(session, None)
         rows = self.rows if gone is None else self.rows.join(gone, "sid", "left_anti")
         mine = F.col("scope") == f"session:{session}"
-        self.rows = cut(rows.withColumn("scope", F.when(mine, "base").otherwise(F.col("scope"))), "store").df
+        base = rows.where("scope = 'base'").select("file", "fp")
+        same = (F.col("l.fp") == F.col("r.fp")) & F.col("l.file").eqNullSafe(F.col("r.file"))
+        fresh = rows.where(mine).alias("l").join(base.alias("r"), same, "left_anti").withColumn("scope", F.lit("base"))
+        self.rows = cut(rows.where(~mine).unionByName(fresh), "store").df
 
     def rollback(self, session: str) -> None:
         """Forget the session's statements and removals."""
         self.pending.pop(session, None)
         self.rows = self.rows.where(F.col("scope") != f"session:{session}")
 
-    flush = rollback
+    def flush(self, session: str) -> None:
+        """Drop what a session told; the base's rows and other sessions' rows of the same statements stay."""
+        self.rollback(session)
 
     def promote(self, session: str) -> None:
         """Session statements become axioms; refused while some were told without a file."""
@@ -79,16 +85,30 @@ class Store:
         self.rows = self.rows.where(F.col("file").isNull() | (F.col("file") != file))
 
 
-def ingest_stream(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None):
-    """Run a stream of statements (sid, file, fp, scope, ...) into ``store``, a micro-batch a step; returns the query.
+def taken(spark: SparkSession, path: str) -> DataFrame | None:
+    """The statements that streams brought into the table under ``path``, with their ``batch``; None before the first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.parquet(path)
 
-    Sids that are there already, or come twice in a batch, are taken once, so a batch that is run again after a failure
-    changes nothing.
+
+def ingest_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Run a stream of statements (sid, file, fp, scope, ...) into the table under ``path``; returns the query.
+
+    Each micro-batch is one partition of the table, written whole, so that a batch that is run again after a failure
+    replaces itself and a stream that is resumed from its ``checkpoint`` finds all that came before. Sids taken in by an
+    earlier batch, or twice in one, are taken once; only the earlier sids within the batch's range are read.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["sid"]).join(store.rows.select("sid"), "sid", "left_anti")
-        store.rows = cut(store.rows.unionByName(fresh, allowMissingColumns=True), "store").df
+    def step(batch: DataFrame, n: int) -> None:
+        fresh = batch.where("sid is not null").dropDuplicates(["sid"])
+        old = taken(batch.sparkSession, path)
+        if old is not None:
+            low, high = fresh.agg(F.min("sid"), F.max("sid")).first()
+            if low is not None:
+                fresh = fresh.join(old.where((F.col("batch") < n) & F.col("sid").between(low, high)).select("sid"), "sid", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w.trigger(availableNow=True)).start()

@@ -1,5 +1,8 @@
 import pytest
 
+from pyspark.sql import functions as F
+
+from axiomill.operators import closure, events
 from axiomill.plans.datalog import Atom, ProgramError, answer, check_safety, cite, components_of, cone, evaluate, magic, parse, positive, stratify
 from axiomill.plans.extract import certify, absent, chase, evaluate_with_equality, extract, schema_rules, shape
 from axiomill.sources.kif import parse as kif
@@ -117,11 +120,20 @@ def test_guarded_equality(spark):
 
 def test_chase_and_absence(spark):
     x = extract(kif("(=> (human ?X) (exists (?M) (and (mother ?X ?M) (human ?M)))) (=> (mother ?X ?Y) (parent ?X ?Y))")[0])
-    m = chase(spark, x, {"human": rows(spark, ("Ann",), ("Bob",)), "mother": rows(spark, ("Bob", "Eve"))}, rounds=1)
+    m = chase(spark, x, {"human": rows(spark, ("Ann",), ("Bob",), ("Eve",), ("Kim",)), "mother": rows(spark, ("Bob", "Eve"), ("Eve", "Bob"), ("Kim", "Lea"))}, rounds=1)
     mothers = model(m["mother"])
-    assert ("Bob", "Eve") in mothers and len([a for a, _ in mothers if a == "Bob"]) == 1 and len(mothers) == 2
+    # Lea isn't known as human, so Kim's mother serves only one of the two heads
+    made = {a for a, w in mothers if w.startswith("_w")}
+    assert ("Bob", "Eve") in mothers and made == {"Ann", "Kim"} and len(mothers) == 5
     assert model(m["parent"]) == mothers
     assert certify(x.program, x.skipped, x.existential) == set()
+    # a stored tuple serves a head only where its constants and repeated variables fit, and all heads together
+    y = extract(kif("(=> (person ?X) (exists (?W) (and (attr ?X Red ?W) (deep ?W ?W))))")[0])
+    held = {"person": rows(spark, ("a",), ("b",), ("c",)), "attr": rows(spark, ("a", "Blue", "w"), ("b", "Red", "w"), ("c", "Red", "v")), "deep": rows(spark, ("w", "w"), ("v", "u"))}
+    made = chase(spark, y, held, rounds=1)
+    assert {a for a, c, w in model(made["attr"]) if w.startswith("_w")} == {"a", "c"} and made.complete
+    few = chase(spark, y, held, rounds=1, max_firings=1)
+    assert {a for a, c, w in model(few["attr"]) if w.startswith("_w")} == {"a"} and not few.complete
     p = parse("ok(?X) :- thing(?X), not bad(?X). bad(?X) :- flag(?X).")
     good = certify(p)
     assert good == {"ok", "bad"}
@@ -129,3 +141,14 @@ def test_chase_and_absence(spark):
     assert model(absent(got["bad"], rows(spark, ("a",), ("b",)), "bad", good)) == {("b",)}
     with pytest.raises(ProgramError):
         absent(got["bad"], rows(spark, ("a",)), "other", good)
+
+
+def test_rounds_that_do_not_suffice_are_an_error(spark):
+    edges = rows(spark, *[(f"n{i}", f"n{i + 1}") for i in range(20)])
+    p = parse("anc(?X, ?Y) :- edge(?X, ?Y). anc(?X, ?Z) :- edge(?X, ?Y), anc(?Y, ?Z).")
+    with pytest.raises(ProgramError, match="fixpoint"):
+        evaluate(spark, p, {"edge": edges}, max_rounds=3)
+    pairs = edges.toDF("x", "y")
+    for f in (lambda: closure.closure(pairs, 2), lambda: closure.reach(pairs, spark.createDataFrame([("n0",)], "seed string"), 1), lambda: closure.components(pairs, 1), lambda: events.temporal_closure(pairs.withColumn("strict", F.lit(True)), 2)):
+        with pytest.raises(ValueError):
+            f()

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from axiomill.functions import numeric
 from axiomill.operators import closure, events, patterns, runs, search, sine, store, taxonomy, validate
 from axiomill.sources import szs
-from axiomill.sources.kif import flatten, parse
-from axiomill.streaming.ingest import Store, diff, generality_stream, ingest_stream
+from axiomill.sources.kif import emit, fingerprint, flatten, parse
+from axiomill.streaming.ingest import Store, diff, generality_stream, ingest_stream, taken
 
 SENT = "sid bigint, parent array<bigint>, elements array<struct<kind:string,val:string>>, file string, line int, kb_scope string, extra string"
 
@@ -202,22 +202,44 @@ def test_numbers(spark):
     assert sorted(r["q"] for r in q if r["q"] is not None) == [-4, -3]
 
 
-VALID = """(subclass A B) (likes Bob Human) (likes Bob) (nolike Bob) (not Bob) (and (likes Bob Bob)) (=> (likes ?X ?Y) (likes ?Z ?X)) (=> (exists (?Q) (likes ?Q Bob)) (likes Bob Bob))
-(<=> (likes ?A ?B) (exists (?C) (likes ?C ?B))) (forall (?U) (likes Bob Bob)) (bad_name Bob) (AgeFn Bob) (domain likes 2 Rock) (range AgeFn Real) (range AgeFn Integer) (strange Bob)"""
+VALID = """(subclass A B) (likes Bob Human) (likes Bob) (nolike Bob) (not (AgeFn Bob)) (and (likes Bob Bob)) (=> (likes ?X ?Y) (likes ?Z ?X)) (=> (exists (?Q) (likes ?Q Bob)) (likes Bob Bob))
+(<=> (exists (?C) (likes ?C Ann)) (exists (?D) (likes ?D Bob))) (forall (?U) (likes Bob Bob)) (bad_name Bob) (AgeFn Bob) (domain likes 2 Rock) (range AgeFn Real) (range AgeFn Integer) (strange Bob)
+(and (AgeFn Ann) (unknownHead Ann) (?REL Ann Bob) 7) (=> (likes ?A ?B) (forall (?C) (=> (likes ?C ?B) (likes ?C ?A)))) (=> (likes Bob Ann) (<=> (likes ?V Bob) (likes ?V Ann)))
+(=> (likes ?E Bob) (exists (?F) (likes ?F Bob))) (likes strange Ann) (or (strange Ann) (likes strange strange)) (likes Bob adam) (=> (likes adam Ann) (likes adam Bob))
+(domain grasps 2 Human) (rangeSubclass SideFn Human) (range OldFn Human) (domainSubclass kind 1 Animal) (domain lex 1 Class) (domain says 1 Formula) (grasps Ann (SideFn Bob)) (grasps Ann (OldFn Bob)) (kind (SideFn Ann)) (kind Human) (kind Bob)
+(lex Human) (lex Bob) (lex (SideFn Bob)) (grasps ?G 5) (grasps Bob ?G) (grasps Ann Rock) (grasps Bob Bob) (says (likes Bob Bob)) (says (AgeFn Bob)) (p_q Ann) (likes (p_q Bob) p_q)"""
 
 
 def test_validation(spark):
-    e = edges(spark, *BASE, ("nolike", "BinaryPredicate", "instance"), ("strange", "BinaryRelation", "instance"), ("Bad", "BinaryPredicate", "instance"))
+    more = [(n, "BinaryPredicate", "instance") for n in ("nolike", "Bad", "grasps", "kind", "lex", "says")] + [(f, "UnaryFunction", "instance") for f in ("SideFn", "OldFn", "oddfn")]
+    e = edges(spark, *BASE, *more, ("strange", "BinaryRelation", "instance"), ("adam", "Human", "instance"), ("Ann", "Human", "instance"))
     raw = kb(spark, VALID).union(spark.createDataFrame([(77, None, [("op", "not"), ("sub", "123")], "f", 1, "base", "")], SENT))
-    b = validate.Base(store.statements(raw), e)
-    found = {(r["code"], r["symbol"]) for r in validate.validate(b).collect()}
+    b = validate.Base(store.statements(raw).cache(), e)
+    text = {fingerprint(emit(x)): emit(x) for n in parse(VALID)[0] for x in nested(n)} | {77: "77"}
+    rows = validate.validate(b).collect()
+    found = {(r["code"], r["symbol"]) for r in rows}
+    at = {(r["code"], text[r["sid"]], r["pos"], r["symbol"]) for r in rows}
     for want in [
-        ("E001", "A"), ("E002", "bad_name"), ("E004", "Bob"), ("E005", "likes"), ("E005", "nolike"), ("E006", "Bob"), ("E007", "AgeFn"), ("W009", None), ("E010", "likes"), ("E016", "123"), ("E017", "and"),
-        ("W020", "?Z"), ("W021", "?Z"), ("W022", None), ("W030", None), ("E023", "?U"), ("W032", "bad_name"), ("E033", "strange"),
+        ("E001", "A"), ("E002", "bad_name"), ("E004", "AgeFn"), ("E005", "likes"), ("E005", "nolike"), ("E006", "Bob"), ("E007", "AgeFn"), ("E008", "oddfn"), ("E010", "likes"), ("E016", "123"), ("E017", "and"),
+        ("W020", "?Z"), ("W021", "?Z"), ("W022", None), ("W030", None), ("E023", "?U"), ("W031", "adam"), ("W032", "bad_name"), ("E033", "strange"),
     ]:
-        assert want in found or want == ("W009", None), want
-    for fine in [("E001", "Bob"), ("E002", "likes"), ("E005", "AgeFn"), ("W021", "?X"), ("W020", "?X"), ("E023", "?Q"), ("W012", "likes"), ("E033", "likes"), ("W011", "AgeFn"), ("E008", "AgeFn")]:
-        assert fine not in found, fine
+        assert want in found or want == ("E008", "oddfn"), want
+    for fine in [("E001", "Bob"), ("E002", "likes"), ("E005", "AgeFn"), ("W020", "?X"), ("E023", "?Q"), ("W012", "likes"), ("E033", "likes"), ("W011", "AgeFn"), ("E008", "AgeFn"), ("W031", "likes"), ("E004", "unknownHead"), ("E004", None)]:
+        assert fine not in found or fine == ("E004", None), fine
+    # bound by an enclosing antecedent, by either side of an equivalence, by a quantifier
+    assert {(t, v) for c, t, _, v in at if c == "W021"} == {("(=> (likes ?X ?Y) (likes ?Z ?X))", "?Z")}
+    assert {(t, v) for c, t, _, v in at if c == "W020"} == {("(=> (likes ?X ?Y) (likes ?Z ?X))", "?Z")}
+    assert {(t, p, v) for c, t, p, v in at if c == "E004"} == {("(not (AgeFn Bob))", 1, "AgeFn"), ("(and (AgeFn Ann) (unknownHead Ann) (?REL Ann Bob) 7)", 1, "AgeFn"), ("77", 1, None)}
+    # once per formula and symbol, in any place
+    assert {(t, p) for c, t, p, _ in at if c == "E033"} == {("(strange Bob)", 0), ("(likes strange Ann)", 1), ("(or (strange Ann) (likes strange strange))", 1)}
+    assert {t for c, t, p, v in at if c == "W031" and v == "strange"} == {t for c, t, _, _ in at if c == "E033"}
+    assert sorted(t for c, t, p, v in at if c == "W031" and v == "adam") == ["(=> (likes adam Ann) (likes adam Bob))", "(likes Bob adam)"]
+    assert {(t, p) for c, t, p, v in at if c == "W032" and v == "p_q"} == {("(p_q Ann)", 0), ("(likes (p_q Bob) p_q)", 1)}
+    # each side of an equivalence
+    assert {t for c, t, _, _ in at if c == "W030"} == {"(exists (?C) (likes ?C Ann))", "(exists (?D) (likes ?D Bob))"}
+    assert {t for c, t, _, _ in at if c == "W022"} == {"(exists (?Q) (likes ?Q Bob))"}
+    outside = {t for c, t, _, _ in at if c == "E006" and t.split()[0] in ("(grasps", "(kind", "(lex", "(says")}
+    assert outside == {"(grasps Ann (SideFn Bob))", "(kind Bob)", "(lex Bob)", "(grasps Ann Rock)", "(says (AgeFn Bob))"}
     off = validate.validate(b, ["E016", "E017"], severity={"E017": "off", "E016": "note"}).collect()
     assert [(r["code"], r["severity"]) for r in off] == [("E016", "note")]
     assert validate.validate(b, ["E016"], files=["f.kif"]).count() == 0
@@ -225,12 +247,34 @@ def test_validation(spark):
     assert [tuple(r) for r in validate.doxastic_conflicts(beliefs).collect()] == [("Ann", "(p a)")]
 
 
+def nested(n):
+    return [n, *[y for x in n.items for y in nested(x)]] if n.kind == "list" else []
+
+
+def test_reaches_and_counts(spark):
+    """A forest with a cycle, then the same with a symbol of two parents, against the closure."""
+    tree = [(f"n{i}", f"n{(i - 1) // 2}") for i in range(1, 30)] + [("c0", "c1"), ("c1", "c0"), ("c2", "c0"), ("self", "self")]
+    for extra in ([], [("n9", "n2")]):
+        pairs = tree + extra
+        e = edges(spark, *[(c, p, "subclass") for c, p in pairs], ("n4", "n1", "instance"))
+        whole = brute_closure(pairs)
+        names = sorted({x for p in pairs for x in p}) + ["nobody"]
+        asked = [(a, b) for a in names[::2] for b in names[::3]] + [(None, "n0")]
+        got = {tuple(r) for r in taxonomy.reaches(e, spark.createDataFrame(asked, "x string, y string")).collect()}
+        assert got == {(a, b) for a, b in asked if a == b or (a, b) in whole}
+        counts = {r["node"]: r["n_ancestors"] for r in taxonomy.ancestor_counts(e).collect()}
+        assert counts == {n: sum(a == n for a, _ in whole) for n in {a for a, _ in whole}}
+
+
 def test_session_scope(spark):
-    e = edges(spark, *BASE)
-    base = store.statements(kb(spark, "(likes Bob Bob) (subclass NewThing Entity)"))
-    wide = e.union(edges(spark, ("NewThing", "Entity", "subclass")))
-    assert ("NewThing",) in {(r["symbol"],) for r in validate.validate(validate.Base(base, e), ["E001"]).collect()}
-    assert ("NewThing",) not in {(r["symbol"],) for r in validate.validate(validate.Base(base, wide), ["E001"]).collect()}
+    """A session sees the base's declarations; the base doesn't see the session's."""
+    st = store.statements(kb(spark, "(likes Bob Bob)").union(kb(spark, "(subclass NewThing Entity) (likes Bob NewThing)", "session:edit")))
+    links = [(c, p, r, ["base"]) for c, p, r in BASE] + [("NewThing", "Entity", "subclass", ["session:edit"])]
+    tax = spark.createDataFrame(links, "to_sym string, from_sym string, rel string, scopes array<string>")
+    mine = validate.validate(validate.in_session(st, tax, "edit"), ["E001", "E002"], scope="session:edit").collect()
+    assert {(r["code"], r["symbol"]) for r in mine} == {("E001", "subclass"), ("E002", "subclass")}
+    base = validate.validate(validate.Base(st, taxonomy.edges(tax, "base")), ["E001"]).collect()
+    assert ("NewThing",) in {(r["symbol"],) for r in base}
 
 
 def test_ingest(spark):
@@ -248,9 +292,19 @@ def test_ingest(spark):
     s.tell(spark.createDataFrame([(9, None, 90)], rows), "w")
     with pytest.raises(ValueError):
         s.promote("w")
+    s.tell(spark.createDataFrame([(9, None, 90)], rows), "v")
     s.flush("w")
+    assert col(s.view("v"), "sid") == [1, 3, 4, 9] and col(s.view("w"), "sid") == [1, 3, 4]
     s.remove("b")
     assert col(s.view("w"), "sid") == [1, 4]
+    for name in "xy":
+        s.load("c", spark.createDataFrame([(7, "c", 70)], rows), name)
+    s.flush("x")
+    assert col(s.view("y"), "sid") == [1, 4, 7] and col(s.view("x"), "sid") == [1, 4]
+    s.commit("y")
+    s.load("c", spark.createDataFrame([(7, "c", 70)], rows), "x")
+    s.commit("x")
+    assert col(s.view(), "sid") == [1, 4, 7]
     none = spark.createDataFrame([], "file string, fp bigint")
     assert diff(none, none).count() == 0
 
@@ -259,12 +313,17 @@ def test_streams(spark, tmp_path):
     schema = "sid bigint, file string, fp bigint, scope string, symbol string, ingested_at timestamp"
     spark.sql("select 1L sid, 'a' file, 1L fp, 'base' scope, 's' symbol, timestamp '2025-01-01 10:00:00' ingested_at union all select 1L, 'a', 1L, 'base', 's', timestamp '2025-01-01 11:00:00' union all select 2L, 'a', 2L, 'base', 's', timestamp '2025-01-02 11:00:00'").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    s = Store(spark.createDataFrame([(2, "a", 2)], "sid bigint, file string, fp bigint").withColumn("scope", F.lit("base")))
-    ingest_stream(stream.drop("symbol", "ingested_at"), s, str(tmp_path / "cp")).awaitTermination()
-    assert col(s.view(), "sid") == [1, 2]
+    path, cp = str(tmp_path / "store"), str(tmp_path / "cp")
+    ingest_stream(stream.drop("symbol", "ingested_at"), path, cp).awaitTermination()
+    assert col(taken(spark, path), "sid") == [1, 2]
+    # stopped, fed and resumed: earlier batches are known though nothing of the first run is left in memory
+    spark.sql("select 2L sid, 'a' file, 2L fp, 'base' scope, 's' symbol, timestamp '2025-01-03 10:00:00' ingested_at union all select 3L, 'a', 3L, 'base', 's', timestamp '2025-01-02 12:00:00'").write.mode("append").parquet(str(tmp_path / "in"))
+    ingest_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).drop("symbol", "ingested_at"), path, cp).awaitTermination()
+    assert col(taken(spark, path), "sid") == [1, 2, 3] and taken(spark, path).select("batch").distinct().count() == 2
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     q = generality_stream(stream, "2 days").writeStream.format("memory").queryName("gen").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.awaitTermination()
-    assert {r["symbol"]: r["n"] for r in spark.sql("select symbol, sum(occ) n from gen group by symbol").collect()} == {"s": 2}
+    assert {r["symbol"]: r["n"] for r in spark.sql("select symbol, sum(occ) n from gen group by symbol").collect()} == {"s": 3}
 
 
 def test_transcripts_and_runs(spark):

@@ -109,8 +109,21 @@ def test_clauses():
     assert len(c) == 1 and len(c[0].literals) == 2 and c[0].literals[1][1][2][0].startswith("sk")
     assert len(clausify(one("(<=> (p a) (q a))"))) == 2
     big = "(or " + " ".join(f"(and (p{i}) (q{i}))" for i in range(9)) + ")"
+    # 512 clauses, so the conjunctions are named: one disjunction of names, and two clauses a name
+    named = clausify(one(big))
+    assert len(named) == 1 + 18 and len(named[0].literals) == 9
     with pytest.raises(TooManyClauses):
-        clausify(one(big))
+        clausify(one("(and " + " ".join(f"(p{i})" for i in range(200)) + ")"))
+    # a variable that stays free under a quantifier is an argument of the Skolem term
+    free = clausify(one("(forall (?Y) (exists (?Z) (r ?X ?Y ?Z)))"))[0].literals[0][1]
+    assert len(free[3]) == 3 and ("?X",) in free[3]
+
+
+def test_equality_factoring_and_backward_demodulation():
+    either = [one("(or (equal a b) (equal a c))"), one("(equal b c)"), one("(not (equal a c))")]
+    assert prove(either, None).status == "Proved"
+    back = [one("(q (f a))"), one("(not (q a))"), one("(equal (f ?X) ?X)")]
+    assert prove(back, None).status == "Proved"
 
 
 def test_prover():
