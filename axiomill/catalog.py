@@ -153,6 +153,106 @@ def sine_generality_after_removal(spark, d):
     return sine.update_generality(sine.generality(use), removed=gone)
 
 
+@query(f"""WITH RECURSIVE {ST}, i AS (SELECT sid AS top, sid FROM st UNION SELECT i.top, TRY_CAST(x.val AS BIGINT) FROM i JOIN x ON x.sid = i.sid AND x.kind = 'sub' WHERE TRY_CAST(x.val AS BIGINT) IS NOT NULL)
+SELECT top AS sid, count(DISTINCT val) FILTER (kind = 'symbol') AS n_symbols, count(DISTINCT val) FILTER (kind = 'variable') AS n_variables, coalesce(bool_or(kind = 'literal' AND TRY_CAST(val AS DOUBLE) IS NOT NULL), false) AS has_numeral
+FROM i LEFT JOIN x ON x.sid = i.sid GROUP BY top""")
+def kb_symbols_of(spark, d):
+    """Distinct symbols and variables of every statement with all that is nested in it, and whether a number is among it."""
+    t = introspect.term_facts(_st(spark, d))
+    return t.select("sid", F.size("symbols").cast("long").alias("n_symbols"), F.size("variables").cast("long").alias("n_variables"), "has_numeral")
+
+
+@query(f"WITH {ST} SELECT sid, val AS var, count(*) AS n FROM x WHERE kind = 'variable' AND val IS NOT NULL GROUP BY sid, val")
+def kb_variable_uses(spark, d):
+    """How often each variable stands among a statement's own elements."""
+    e = store.elements(_st(spark, d)).where("kind = 'variable' and val is not null")
+    return e.groupBy("sid", F.col("val").alias("var")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ST} SELECT f.sid, '(' || f.rel || ' ' || array_to_string(f.args, ' ') || ')' AS kif FROM fa f")
+def kb_texts(spark, d):
+    """Statements as text; here those of the facts, whose text SQL can make."""
+    st = _st(spark, d)
+    return store.texts(st).join(store.facts(st).select("sid"), "sid", "left_semi")
+
+
+@query(f"WITH {ST} SELECT rel, args, min(file) AS file, count(*) AS n FROM fa JOIN st USING (sid) GROUP BY rel, args HAVING count(*) > 1")
+def axiom_source_index(spark, d):
+    """Facts that stand in the base more than once, with the first file that has them."""
+    st = _st(spark, d)
+    f = store.facts(st).join(st.select("sid", "file"), "sid")
+    return f.groupBy("rel", "args").agg(F.min("file").alias("file"), F.count("*").alias("n")).where("n > 1")
+
+
+@query(f"WITH {ST} SELECT DISTINCT val AS name, 's__' || replace(replace(val, '-', '_x2d'), '.', '_x2e') AS safe, val AS back FROM x WHERE kind = 'symbol' AND val IS NOT NULL")
+def tptp_symbol_names(spark, d):
+    """Every symbol as a name other provers take, and back."""
+    import pandas as pd
+
+    from axiomill.sources.tptp import demangle, mangle
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"], "safe": [mangle(n) for n in b["name"]], "back": [demangle(mangle(n)) for n in b["name"]]})
+
+    names = store.elements(_st(spark, d)).where("kind = 'symbol' and val is not null").select(F.col("val").alias("name")).distinct()
+    return names.mapInPandas(run, "name string, safe string, back string")
+
+
+def _kif(spark, d):
+    st = _st(spark, d)
+    return store.texts(st).join(st.where("is_root").select("sid", "head"), "sid")
+
+
+@query(f"WITH {ST} SELECT sid, 'fof(kb_' || sid || ',axiom,s__' || replace(rel, '-', '_x2d') || '(' || array_to_string(list_transform(args, lambda a: 's__' || replace(a, '-', '_x2d')), ', ') || ')).' AS line FROM fa WHERE rel IN ('heldBy', 'boundTo', 'observedDuring', 'instance', 'subclass') AND len(list_filter(args, lambda a: NOT regexp_matches(a, '^[A-Za-z][A-Za-z0-9-]*$'))) = 0")
+def tptp_export_facts(spark, d):
+    """The facts of five relations over plain names in the exchange format."""
+    from axiomill.sources.tptp import export
+
+    f = store.facts(_st(spark, d)).where(F.col("rel").isin("heldBy", "boundTo", "observedDuring", "instance", "subclass")).where(F.forall("args", lambda a: a.rlike("^[A-Za-z][A-Za-z0-9-]*$")))
+    return export(_kif(spark, d).join(f.select("sid"), "sid", "left_semi")).select("sid", "line")
+
+
+@query(f"WITH {ST} SELECT row_number() OVER (ORDER BY sid) AS line_no, sid FROM fa")
+def tptp_export_indexed(spark, d):
+    """The exported facts with their line numbers, and so which statement each line is."""
+    from axiomill.sources.tptp import export, indexed
+
+    st = _st(spark, d)
+    return indexed(export(_kif(spark, d).join(store.facts(st).select("sid"), "sid", "left_semi"))).select("line_no", "sid")
+
+
+@query("SELECT item_id, len(axioms) + 2 AS n_lines, query_kif IS NOT NULL AS asks FROM testcase")
+def tptp_export_tests(spark, d):
+    """Every test as a problem of its own: a title, its axioms and the conjecture."""
+    from axiomill.sources.tptp import export_problems
+
+    p = export_problems(table(spark, d, "testcase"))
+    return p.select("item_id", F.size(F.split("problem", "\n")).cast("long").alias("n_lines"), F.col("problem").contains(",conjecture,").alias("asks"))
+
+
+@query(r"SELECT item_id, len(regexp_extract_all(query_kif, '\(')) AS lists, len(regexp_extract_all(query_kif, '\?[A-Za-z0-9]+')) AS variables, regexp_extract(query_kif, '^\(([^ ()]+)', 1) AS head, query_kif AS again FROM testcase WHERE query_kif IS NOT NULL")
+def kif_queries_read(spark, d):
+    """The tests' queries as trees: lists, variable tokens, head, and the text again."""
+    import pandas as pd
+
+    from axiomill.sources.kif import emit, parse, tokens
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, sum(k == "open" for k, _, _ in tokens(t)), sum(k == "variable" for k, _, _ in tokens(t)), parse(t)[0][0].head, emit(parse(t)[0][0])) for i, t in zip(b["item_id"], b["query_kif"])]
+            yield pd.DataFrame(rows, columns=["item_id", "lists", "variables", "head", "again"])
+
+    t = table(spark, d, "testcase").where("query_kif is not null").select("item_id", "query_kif")
+    return t.mapInPandas(run, "item_id bigint, lists bigint, variables bigint, head string, again string")
+
+
+@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '&%([A-Za-z][A-Za-z0-9_-]*)', 1)) AS name FROM documents")
+def doc_term_links(spark, d):
+    """The terms that texts link."""
+    return table(spark, d, "documents").select("doc_id", F.explode(search.doc_spans(F.col("text"))).alias("name"))
+
+
 # --- patterns ---------------------------------------------------------------------------------------------------------
 
 
@@ -211,6 +311,12 @@ def tax_nearest_ancestor(spark, d):
     return taxonomy.nearest_ancestor(e, e.where("rel = 'subAttribute'").select(F.col("child").alias("node")), wide)
 
 
+@query(f"WITH RECURSIVE {TAX}, s AS (SELECT 'PortableDevice' AS node UNION SELECT e.child FROM s JOIN ed e ON e.parent = s.node) SELECT node FROM s")
+def tax_has_ancestor(spark, d):
+    """All at or below one class over any link."""
+    return taxonomy.has_ancestor(_edges(spark, d), "PortableDevice")
+
+
 @query(f"WITH {TAX} SELECT child AS node, 'parent' AS side, parent AS other, rel FROM ed UNION ALL SELECT parent, 'child', child, rel FROM ed")
 def tax_links(spark, d):
     """Direct links of every symbol, both ways."""
@@ -375,14 +481,42 @@ def datalog_join_chain(spark, d):
     return datalog.evaluate(spark, p, f)["big"]
 
 
-@query("SELECT c_name AS a0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_name AS a0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def datalog_stratified_neg(spark, d):
-    """Customers without an order."""
-    f = {"customer": _pairs(table(spark, d, "customer"), "c_custkey", "c_name"), "orders": _pairs(table(spark, d, "orders"), "o_orderkey", "o_custkey")}
+    """Customers without an urgent order in work."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    f = {"customer": _pairs(table(spark, d, "customer"), "c_custkey", "c_name"), "orders": _pairs(urgent, "o_orderkey", "o_custkey")}
     p = datalog.parse("has(?C) :- orders(?O, ?C). idle(?N) :- customer(?C, ?N), not has(?C).")
     return datalog.evaluate(spark, p, f)["idle"]
 
 
+@query("SELECT r_name AS a0, n_name AS a1 FROM region, nation")
+def datalog_product(spark, d):
+    """Literals without a shared variable, within a budget."""
+    f = {"region": _pairs(table(spark, d, "region"), "r_name"), "nation": _pairs(table(spark, d, "nation"), "n_name")}
+    return datalog.evaluate(spark, datalog.parse("pair(?R, ?N) :- region(?R), nation(?N)."), f, max_tuples=1000)["pair"]
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS a0, '_wr0_O_' || c_custkey AS a1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)
+UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def chase_customers(spark, d):
+    """Everyone is promised an urgent order: witnesses for the customers without one."""
+    from axiomill.plans import extract
+    from axiomill.sources.kif import parse
+
+    x = extract.extract(parse("(=> (customer ?C) (exists (?O) (urgent ?C ?O)))")[0])
+    f = {"customer": _pairs(table(spark, d, "customer"), "c_custkey"), "urgent": _pairs(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), "o_custkey", "o_orderkey")}
+    return extract.chase(spark, x, f, rounds=1)["urgent"]
+
+
+@query("""SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS a0 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49""")
+def datalog_discharge(spark, d):
+    """Forward closure of a rule whose head has no stored facts, over all orders and lines."""
+    f = {"orders": _pairs(table(spark, d, "orders"), "o_orderkey", "o_custkey"), "line": _pairs(table(spark, d, "lineitem"), "l_orderkey", "l_quantity")}
+    p = datalog.parse("buys(?C) :- line(?O, ?Q), orders(?O, ?C), greaterThanOrEqualTo(?Q, 49).")
+    return datalog.discharge(spark, p, f)[0]["buys"]
+
+
 @query(f"WITH {ST}, e AS (SELECT args[1] AS a, args[2] AS b FROM fa WHERE rel = 'heldBy' AND len(args) = 2) SELECT a AS a0, b AS a1 FROM e UNION SELECT b, a FROM e")
 def datalog_symmetric_schema(spark, d):
     """The symmetric rule template over one relation."""
@@ -458,6 +592,21 @@ def num_arith_fold(spark, d):
     return p.select("p_partkey", v.alias("v"), numeric.comparison(F.lit("greaterThan"), F.col("p_retailprice"), F.col("p_size") * 40.0).alias("gt"))
 
 
+@query("SELECT p_partkey, floor(p_retailprice) AS low, ceil(p_retailprice) AS high, CAST(p_size AS DOUBLE) % 7 AS rest FROM part")
+def num_round_prices(spark, d):
+    """Rounding down and up, and remainders."""
+    p = table(spark, d, "part")
+    v = lambda n, x, y=None: numeric.rounding(F.lit(n), x, y)
+    price, size = F.col("p_retailprice"), F.col("p_size").cast("double")
+    return p.select("p_partkey", v("FloorFn", price).alias("low"), v("CeilingFn", price).alias("high"), v("RemainderFn", size, F.lit(7.0)).alias("rest"))
+
+
+@query("WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE)::VARCHAR AS time FROM orders) SELECT time, lead(time) OVER (ORDER BY time) AS next FROM t")
+def temporal_days_in_order(spark, d):
+    """The days on which something was ordered, each with the next."""
+    return events.order_chain(table(spark, d, "orders").select(F.to_date("o_orderdate").cast("string").alias("time")), 7)
+
+
 @query("SELECT md5(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS fp, count(*) AS n, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dedup_fingerprint(spark, d):
     """Texts delivered more than once, by the digest of their normalised form."""
@@ -564,13 +713,19 @@ def valid_missing_sentence(spark, d):
     return _findings(spark, d, "E016")
 
 
-@query(f"WITH {ST} SELECT min(sid) AS sid, val AS symbol FROM x WHERE kind = 'symbol' AND regexp_matches(val, '[_-]') GROUP BY val")
+_FORMULA = """, fo AS (SELECT sid AS top, sid FROM sh WHERE is_root UNION SELECT fo.top, TRY_CAST(x.val AS BIGINT) FROM fo JOIN x ON x.sid = fo.sid AND x.kind = 'sub' WHERE TRY_CAST(x.val AS BIGINT) IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {ST}{_FORMULA} SELECT DISTINCT top AS sid, val AS symbol FROM fo JOIN x ON x.sid = fo.sid WHERE kind = 'symbol' AND regexp_matches(val, '[_-]')")
 def valid_camel_case(spark, d):
-    """W032: names with underscores or hyphens."""
+    """W032: names with underscores or hyphens, once per formula."""
     return _findings(spark, d, "W032")
 
 
-@query(f"WITH RECURSIVE {_INSIDE} SELECT top AS sid, var AS symbol FROM va JOIN sh ON sh.sid = top WHERE head = '=>' AND head_kind = 'op' AND len(el) = 3 GROUP BY top, var HAVING NOT bool_or(arg = 1)")
+@query(f"""WITH RECURSIVE {_INSIDE}{_FORMULA}, im AS (SELECT sid, head FROM sh WHERE head IN ('=>', '<=>') AND head_kind = 'op' AND el[2].kind = 'sub' AND el[3].kind = 'sub'),
+bi AS (SELECT fo.top, va.var, bool_or(head = '<=>' OR arg = 1) AS bound, bool_or(head = '=>' AND arg = 2) AS free FROM fo JOIN im ON im.sid = fo.sid JOIN va ON va.top = im.sid WHERE arg IN (1, 2) AND NOT starts_with(var, '@') GROUP BY fo.top, va.var),
+ql AS (SELECT DISTINCT fo.top, x.val AS var FROM fo JOIN sh ON sh.sid = fo.sid JOIN x ON x.sid = TRY_CAST(sh.el[2].val AS BIGINT) WHERE sh.head IN ('forall', 'exists') AND sh.head_kind = 'op' AND sh.el[2].kind = 'sub' AND x.kind = 'variable')
+SELECT top AS sid, var AS symbol FROM bi WHERE free AND NOT bound AND NOT EXISTS (SELECT 1 FROM ql WHERE ql.top = bi.top AND ql.var = bi.var)""")
 def valid_free_variable(spark, d):
-    """W021: a variable of a rule's right side that its left side lacks."""
+    """W021: a variable of a consequent that nothing in the formula binds."""
     return _findings(spark, d, "W021")

@@ -48,3 +48,11 @@ def euclidean_quotient(x: Column, y: Column) -> Column:
     """Integer division with a remainder that is never negative; null for a zero divisor."""
     q = F.try_divide(x - F.pmod(x, F.when(y != 0, F.abs(y))), y)
     return F.round(q).cast("bigint")
+
+
+def rounding(name: Column, x: Column, y: Column | None = None) -> Column:
+    """Value of FloorFn, CeilingFn, RoundFn (halves away from zero) or, with ``y``, RemainderFn (never negative); null for
+    other names, a zero divisor and what isn't finite."""
+    left = F.when(y != 0, F.pmod(x, F.abs(y))) if y is not None else F.lit(None).cast("double")
+    v = F.when(name == "FloorFn", F.floor(x).cast("double")).when(name == "CeilingFn", F.ceil(x).cast("double")).when(name == "RoundFn", F.round(x).cast("double")).when(name == "RemainderFn", left)
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)

@@ -99,3 +99,17 @@ def temporal_closure(points: DataFrame, max_rounds: int = 64) -> DataFrame:
 def consistent(order: DataFrame) -> bool:
     """Whether no point lies strictly before itself."""
     return order.where("x = y and strict").isEmpty()
+
+
+def entails(order: DataFrame, asked: DataFrame) -> DataFrame:
+    """``x, y, holds``: for each ``asked`` (x, y, strict) whether the closed ``order`` says it; unknown points say nothing."""
+    got = order.select("x", "y", F.col("strict").alias("is_strict"))
+    rows = asked.join(got, ["x", "y"], "left")
+    return rows.select("x", "y", F.col("strict"), (F.col("is_strict").isNotNull() & (~F.col("strict") | F.col("is_strict"))).alias("holds"))
+
+
+def witness(points: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
+    """The steps of a shortest way from x to y over the stated ``points`` (x, y, strict), none where there is no way."""
+    from axiomill.operators.introspect import witness_path
+
+    return [(a, b) for a, b, _ in witness_path(points.select("x", "y", F.lit(None).cast("bigint").alias("sid")), x, y)]

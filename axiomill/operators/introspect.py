@@ -77,13 +77,20 @@ def rename(tokens_: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def man_page(symbol: str, st: DataFrame, e: DataFrame, docs: DataFrame, sorts: DataFrame) -> DataFrame:
-    """``section, key, value`` of everything known about a symbol: docs, parents, children, signature, references."""
+    """``section, key, value`` of everything known about a symbol: docs, parents, children, signature, and the formulas that
+    name it, once each: ``reference`` by the place of its first own element, or ``nested``. Taxonomy and documentation
+    statements are no references: their sections show them."""
     d = docs.where(F.col("symbol") == symbol).select(F.col("rel").alias("section"), F.col("language").alias("key"), F.col("text").alias("value"))
     up = e.where(F.col("child") == symbol).select(F.lit("parent").alias("section"), F.col("rel").alias("key"), F.col("parent").alias("value"))
     down = e.where(F.col("parent") == symbol).select(F.lit("child").alias("section"), F.col("rel").alias("key"), F.col("child").alias("value"))
     sig = sorts.where(F.col("rel") == symbol).select(F.when(F.col("pos") == 0, "range").otherwise("domain").alias("section"), F.col("pos").cast("string").alias("key"), F.col("class").alias("value"))
+    about = ("subclass", "instance", "subrelation", "subAttribute", "documentation", "termFormat", "format")
     ref = store.occurrences(st).where(F.col("symbol") == symbol).groupBy("sid").agg(F.min("pos").alias("pos"))
-    ref = ref.select(F.lit("reference").alias("section"), F.col("pos").cast("string").alias("key"), F.col("sid").cast("string").alias("value"))
+    around = store.roots_of(st, ref.select("sid")).join(ref, "sid").join(st.where(F.coalesce(~F.col("head").isin(*about), F.lit(True))).select(F.col("sid").alias("root")), "root", "left_semi")
+    # one reference a formula: its own place there before any nested one
+    own = F.min(F.when(F.col("sid") == F.col("root"), F.col("pos")))
+    refs = around.groupBy("root").agg(own.alias("pos"))
+    ref = refs.select(F.when(F.col("pos").isNull(), "nested").otherwise("reference").alias("section"), F.col("pos").cast("string").alias("key"), F.col("root").cast("string").alias("value"))
     return union_all([d, up, down, sig, ref]).orderBy("section", "key", "value")
 
 
@@ -142,3 +149,40 @@ def witness_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 1000
         path.append((r["via"], at, r["sid"]))
         at = r["via"]
     return path[::-1]
+
+
+def bound_variables(st: DataFrame) -> DataFrame:
+    """``sid, var``: the variables that each quantifier lists."""
+    q = st.where(F.col("head").isin("forall", "exists") & (F.col("head_kind") == "op")).select("sid", F.try_element_at("elements", F.lit(2)).alias("e")).where("e.kind = 'sub'")
+    lists = q.select("sid", F.col("e.val").try_cast("bigint").alias("inner"))
+    names = store.elements(st).where("kind = 'variable'").select(F.col("sid").alias("inner"), F.col("val").alias("var"))
+    return lists.join(names, "inner").select("sid", "var").distinct()
+
+
+def natural_languages(e: DataFrame, docs: DataFrame, top: str = "NaturalLanguage") -> DataFrame:
+    """``language, label``: the instances of ``top`` or a class below it, with their termFormat, the first by text."""
+    from axiomill.operators.taxonomy import instances_of
+
+    label = docs.where("rel = 'termFormat'").groupBy(F.col("symbol").alias("language")).agg(F.min("text").alias("label"))
+    return instances_of(e, top).select(F.col("instance").alias("language")).join(label, "language", "left")
+
+
+def document_symbols(st: DataFrame, file: str) -> DataFrame:
+    """``line, head, subject``: what stands in a file, in order of its lines; the file's statements only are scanned."""
+    return st.where((F.col("file") == file) & F.col("is_root")).select("line", "head", "subject").orderBy("line", "head", "subject")
+
+
+def workspace_symbols(st: DataFrame, part: str) -> DataFrame:
+    """``symbol, file, line``: where each symbol whose name holds ``part``, in any case, is introduced."""
+    hit = store.defining_sentence(st).where(F.lower("symbol").contains(part.lower()))
+    return hit.join(st.select("sid", "file", "line"), "sid").select("symbol", "file", "line").orderBy("symbol")
+
+
+def taxonomy_view(e: DataFrame, docs: DataFrame, symbol: str) -> DataFrame:
+    """``child, parent, rel, hops, documentation``: the links on all ways up from a symbol, nearest first, each with what is
+    said of the parent."""
+    up = e.select(F.col("child").alias("x"), F.col("parent").alias("y"))
+    seed = e.sparkSession.createDataFrame([(symbol,)], "seed string")
+    met = reach(up, seed).select(F.col("node").alias("child"), "hops").unionByName(seed.select(F.col("seed").alias("child"), F.lit(0).alias("hops")))
+    said = docs.where("rel = 'documentation'").groupBy(F.col("symbol").alias("parent")).agg(F.min_by("text", "sid").alias("documentation"))
+    return e.join(met, "child").select("child", "parent", "rel", F.col("hops") + 1).toDF("child", "parent", "rel", "hops").join(said, "parent", "left").orderBy("hops", "child", "parent")

@@ -4,26 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from axiomill.operators.store import roots_of
 from axiomill.sources.kif import Node, parse
 
 _KINDS = {"symbol": ("symbol",), "op": ("op", "symbol"), "string": ("literal",), "number": ("literal",)}
 
 
-def lookup(st: DataFrame, pattern: str) -> DataFrame:
+def lookup(st: DataFrame, pattern: str, contains: list[str] | None = None) -> DataFrame:
     """Statements that match a pattern: ``sid`` and one column per variable (its name without ``?`` or ``@``).
 
     ``?x`` stands for any one element, the same one wherever it is repeated, across nesting too; ``?`` and names starting
     with ``?_`` bind nothing. ``@row`` stands for any number of elements, the fewest that let the rest match, and gives
     their number. A list matches a nested statement, by one join per list in the pattern. Without ``@`` the lengths must
-    be equal. A pattern that can't be read, or names what isn't there, finds nothing.
+    be equal. A pattern that can't be read, or names what isn't there, finds nothing. A plain head, and ``contains``, of
+    whose symbols a statement must have one among its own elements, are asked of the scan first.
     """
     roots, wrong = parse(pattern)
     if wrong or len(roots) != 1 or roots[0].kind != "list":
         return st.select("sid").where(F.lit(False))
-    out, names = _match(st.select("sid", "elements"), st, roots[0], {}, [0])
+    rows = st
+    if roots[0].items and roots[0].items[0].kind in ("symbol", "op"):
+        rows = rows.where(F.col("head") == roots[0].items[0].val)
+    if contains is not None:
+        rows = rows.where(F.exists("elements", lambda e: (e["kind"] == "symbol") & e["val"].isin(*contains)))
+    out, names = _match(rows.select("sid", "elements"), st, roots[0], {}, [0])
     return out.select("sid", *[F.col(c).alias(v.lstrip("?@")) for v, c in names.items()])
 
 
+def lookup_nested(st: DataFrame, pattern: str) -> DataFrame:
+    """Matches at any depth: ``root, sid`` and the variables, where ``root`` is the statement by itself around the match."""
+    found = lookup(st, pattern)
+    return roots_of(st, found.select("sid")).join(found, "sid").select("root", "sid", *[c for c in found.columns if c != "sid"])
+
+
 def _match(rows: DataFrame, st: DataFrame, pattern: Node, names: dict[str, str], count: list[int]) -> tuple[DataFrame, dict[str, str]]:
     """Rows (with ``elements`` of the statement at hand) that match, bindings as columns."""
     items = list(pattern.items)

@@ -24,17 +24,20 @@ def statements(sentences: DataFrame) -> DataFrame:
     """One row per distinct non-null sid: ``sid, parent, is_root, elements, head, head_kind, subject, n_args, file, line, scope``.
 
     Values are trimmed; null elements become an empty array, whose head is null. ``subject`` is the first argument where
-    it is a symbol. Deliveries of a sid agree; should they differ, the least row stands for it. Rows of a repeated sid are
-    combined before the shuffle. Take in a table once, with ``store``, and query that: every scan of this frame shuffles.
+    it is a symbol. Deliveries of a sid agree in content; should they differ, the least row stands for it. A statement told
+    by itself and within others is a root and has all their sids as ``parent``. Rows of a repeated sid are combined before
+    the shuffle. Take in a table once, with ``store``, and query that: every scan of this frame shuffles.
     """
     trimmed = F.transform("elements", lambda e: F.struct(e["kind"].alias("kind"), clean(e["val"]).alias("val")))
+    alone = F.col("parent").isNull() | (F.size("parent") == 0)
     rows = sentences.where("sid is not null").select(
-        "sid", F.struct("parent", F.coalesce(trimmed, F.array().cast(ELEMENTS)).alias("elements"), "file", "line", F.col("kb_scope").alias("scope")).alias("s")
-    )
-    one = rows.groupBy("sid").agg(F.min("s").alias("s")).select("sid", "s.*")
+        "sid", alone.alias("alone"), F.when(~alone, F.col("parent")).alias("p"),
+        F.struct(F.coalesce(trimmed, F.array().cast(ELEMENTS)).alias("elements"), "file", "line", F.col("kb_scope").alias("scope")).alias("s"),
+    )
+    one = rows.groupBy("sid").agg(F.bool_or("alone").alias("is_root"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("p")))).alias("parent"), F.min("s").alias("s")).select("sid", "is_root", "parent", "s.*")
     first, second = F.try_element_at("elements", F.lit(1)), F.try_element_at("elements", F.lit(2))
     return one.select(
-        "sid", "parent", (F.col("parent").isNull() | (F.size("parent") == 0)).alias("is_root"), "elements", first["val"].alias("head"), first["kind"].alias("head_kind"),
+        "sid", F.when(F.size("parent") > 0, F.col("parent")).alias("parent"), "is_root", "elements", first["val"].alias("head"), first["kind"].alias("head_kind"),
         F.when(second["kind"] == "symbol", second["val"]).alias("subject"), F.greatest(F.size("elements") - 1, F.lit(0)).alias("n_args"), "file", "line", "scope",
     )
 
@@ -133,20 +136,48 @@ class Met:
 def roots_of(st: DataFrame, found: DataFrame) -> DataFrame:
     """``sid, root``: the top-level statement around each of ``found`` (sid); one equi-join per level of nesting.
 
-    A statement nested in several gets a row for each; one whose parents can't be found stands for itself. Levels are
-    followed however deep they go; what a statement was already followed to is not followed again, so cycles end.
+    A statement nested in several gets a row for each, and one told by itself as well is its own; one whose parents can't
+    be found stands for itself. Levels are followed however deep they go; what a statement was already followed to is not
+    followed again, so cycles end.
     """
     up = cut(st.select(F.col("sid").alias("at"), F.explode("parent").alias("up")).where("up is not null"), "parents").df
+    # those that stand by themselves though they have parents too
+    both = st.where("is_root and parent is not null").select(F.col("sid").alias("at"))
     front = cut(found.select("sid", F.col("sid").alias("at")).distinct(), "roots", n=F.count("*"))
     met = Met(["sid", "at"])
     done = Met(["sid", "root"])
     while front.seen["n"]:
         met.add(front.df)
-        done.add(front.df.join(up, "at", "left_anti").select("sid", F.col("at").alias("root")))
+        done.add(front.df.join(up, "at", "left_anti").unionByName(front.df.join(both, "at", "left_semi")).select("sid", F.col("at").alias("root")))
         front = cut(met.new(front.df.join(up, "at").select("sid", F.col("up").alias("at")).distinct()), "roots", n=F.count("*"))
     return done.all().distinct() if done.frames else found.select("sid", F.col("sid").alias("root"))
 
 
+def texts(st: DataFrame) -> DataFrame:
+    """``sid, kif``: each statement as text with all that is nested in it, made from the inside out, one join per level.
+
+    A statement with a nested one that isn't there, or with nothing in it, has no text.
+    """
+    own = st.where(F.size("elements") > 0).select("sid", "elements")
+    nested = F.filter("elements", lambda e: e["kind"] == "sub")
+    plain = F.forall("elements", lambda e: (e["kind"] != "sub") & e["val"].isNotNull())
+    done = Met(["sid"])
+    done.add(cut(own.where(plain).select("sid", F.concat(F.lit("("), F.array_join(F.transform("elements", lambda e: e["val"]), " "), F.lit(")")).alias("kif")), "texts").df)
+    left = cut(own.where((F.size(nested) > 0) & F.forall("elements", lambda e: e["val"].isNotNull())), "left", n=F.count("*"))
+    while left.seen["n"]:
+        places = left.df.select("sid", F.posexplode("elements").alias("i", "e")).select("sid", "i", "e.val", F.when(F.col("e.kind") == "sub", F.col("e.val").try_cast("bigint")).alias("inner"), (F.col("e.kind") == "sub").alias("s"))
+        known = done.all().select(F.col("sid").alias("inner"), "kif")
+        filled = places.join(known, "inner", "left").groupBy("sid").agg(
+            F.bool_and(~F.col("s") | F.col("kif").isNotNull()).alias("whole"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("kif", "val").alias("t")))).getField("t").alias("ts")
+        )
+        fresh = cut(filled.where("whole").select("sid", F.concat(F.lit("("), F.array_join("ts", " "), F.lit(")")).alias("kif")), "texts", n=F.count("*"))
+        if not fresh.seen["n"]:
+            break
+        done.add(fresh.df)
+        left = cut(left.df.join(fresh.df, "sid", "left_anti"), "left", n=F.count("*"))
+    return done.all()
+
+
 def defining_sentence(st: DataFrame) -> DataFrame:
     """``symbol, sid``: where a symbol is introduced, by subclass, instance, subrelation, subAttribute, documentation,
     in this order, else by any other statement it heads or opens; then by the smallest file, line and sid.

@@ -207,6 +207,43 @@ def denial_violations(e: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(under.select(F.col("seed").alias("b"), "node"), ["b", "node"]).select("node", "a", "b")
 
 
+def refuted(e: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The ``asked`` (instance, class) that can't be, with the disjoint pair that says so: ``instance, class, a, b``.
+
+    Something at or above the instance and something at or above the class are disjoint. Only the asked are walked up.
+    """
+    up = e.select(F.col("child").alias("x"), F.col("parent").alias("y"))
+    q = asked.select("instance", "class").dropna().distinct()
+    seeds = q.select(F.col("instance").alias("seed")).union(q.select("class")).distinct()
+    over = cut(reach(up, seeds).select("seed", "node").unionByName(seeds.select("seed", F.col("seed").alias("node"))), "over").df
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    left = q.join(over.select(F.col("seed").alias("instance"), F.col("node").alias("a")), "instance").join(both, "a")
+    hit = left.join(over.select(F.col("seed").alias("class"), F.col("node").alias("b")), ["class", "b"])
+    first = hit.groupBy("instance", "class").agg(F.min(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("p"))
+    return first.select("instance", "class", "p.a", "p.b")
+
+
+def closure_facts(e: DataFrame, facts: DataFrame, seeds: DataFrame, cap: int = 10_000) -> DataFrame:
+    """``sid, hops``: the subclass and instance facts along the ways up from ``seeds`` (seed), nearest first; of more than
+    ``cap`` those farthest from the seeds are left out."""
+    links = e.where(F.col("rel").isin("subclass", "instance"))
+    met = reach(links.select(F.col("child").alias("x"), F.col("parent").alias("y")), seeds).groupBy("node").agg(F.min("hops").alias("hops"))
+    met = met.unionByName(seeds.select(F.col("seed").alias("node"), F.lit(0).alias("hops"))).groupBy("node").agg(F.min("hops").alias("hops"))
+    f = facts.where(F.col("rel").isin("subclass", "instance") & (F.size("args") == 2)).select("rel", F.get("args", F.lit(0)).alias("child"), F.get("args", F.lit(1)).alias("parent"), "sid")
+    rows = links.join(met.withColumnRenamed("node", "child"), "child").join(f, ["rel", "child", "parent"])
+    return rows.groupBy("sid").agg(F.min("hops").alias("hops")).orderBy("hops", "sid").limit(cap)
+
+
+def only_case_left(cases: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``node, class``: of each exhaustive decomposition of a node's class, the one case that isn't ``excluded``.
+
+    ``cases`` is (node, decomposition, class), ``excluded`` (node, class).
+    """
+    left = cases.distinct().join(excluded.select("node", "class").distinct(), ["node", "class"], "left_anti")
+    one = left.groupBy("node", "decomposition").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    return one.select("node", "class").distinct()
+
+
 def most_specific(e: DataFrame, member: DataFrame) -> DataFrame:
     """``node, kind, classes``: the classes of ``member`` (node, class) without those above another of the same node.
 

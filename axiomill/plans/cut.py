@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -16,6 +17,14 @@ from axiomill.session import shared_dir
 
 
 _FOLDERS: set[str] = set()
+_LISTENERS: list[Callable[[str, dict], None]] = []
+
+
+def on_progress(listener: Callable[[str, dict], None]) -> Callable[[], None]:
+    """Have ``listener`` told the tag and the figures of every written step; returns what ends that."""
+    _LISTENERS.append(listener)
+    return lambda: _LISTENERS.remove(listener)
+
 
 
 def _delete(spark: SparkSession, name: str) -> None:
@@ -51,6 +60,8 @@ class Cut:
             df = df.observe(watch, *[c.alias(k) for k, c in figures.items()])
         df.write.parquet(self.path)
         self.seen = watch.get if figures else {}
+        for tell in list(_LISTENERS):
+            tell(tag, dict(self.seen))
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -371,6 +371,74 @@ def answer(spark: SparkSession, p: Program, facts: dict[str, DataFrame], goal: A
     return bind(evaluate(spark, rewritten, held, max_tuples)[g.pred], g).distinct()
 
 
+def answer_in_tiers(spark: SparkSession, p: Program, facts: dict[str, DataFrame], goal: Atom, max_tuples: int) -> tuple[DataFrame, bool]:
+    """(tuples, whole): the goal's answers within ``max_tuples``; where they don't suffice, those of one application of the
+    rules to stored facts, which are right but may not be all."""
+    try:
+        return answer(spark, p, facts, goal, max_tuples), True
+    except ProgramError as e:
+        if "overflow" not in str(e):
+            raise
+    shallow = [fire(r, facts) for r in p.rules if r.head.pred == goal.pred and not any(b.negated for b in r.body) and all(b.atom.pred in facts or b.atom.pred in COMPARISONS for b in r.body)]
+    stored = [facts[goal.pred]] if goal.pred in facts else []
+    parts = [bind(d, goal) for d in [*stored, *shallow]]
+    if not parts:
+        raise ProgramError(f"no rule for {goal.pred} rests on stored facts alone")
+    return union_all(parts).distinct(), False
+
+
+def discharge(spark: SparkSession, p: Program, facts: dict[str, DataFrame], rounds: int = 3) -> tuple[dict[str, DataFrame], bool]:
+    """(model, whole): forward closure in at most ``rounds`` rounds of the positive rules whose head has no stored facts.
+
+    Every round joins the rule bodies over all that is known; ``whole`` tells that nothing more would follow.
+    """
+    rules = [r for r in p.rules if r.head.pred not in facts and r.body and not any(b.negated for b in r.body)]
+    check_safety(Program(rules))
+    held, got = dict(facts), {}
+    for _ in range(rounds):
+        grown = False
+        for q in sorted({r.head.pred for r in rules}):
+            parts = [fire(r, held) for r in rules if r.head.pred == q and all(b.atom.pred in held or b.atom.pred in COMPARISONS for b in r.body)]
+            if not parts:
+                continue
+            new = union_all(parts).distinct()
+            if q in got:
+                new = new.join(got[q], got[q].columns, "left_anti")
+            c = cut(new, "discharged", n=F.count("*"))
+            if c.seen["n"]:
+                grown = True
+                got[q] = c.df if q not in got else got[q].unionByName(c.df)
+        held |= got
+        if not grown:
+            return got, True
+    return got, False
+
+
+def clusters(p: Program, tainted: set[str] = frozenset()) -> list[set[str]]:
+    """The derived predicates in groups that share no predicate but stored ones, without the ``tainted`` and what rests on
+    them; largest first, then by name."""
+    bad = set(tainted)
+    while more := {r.head.pred for r in p.rules if r.head.pred not in bad and any(b.atom.pred in bad for b in r.body)}:
+        bad |= more
+    good = p.derived - bad
+    group = {q: q for q in good}
+
+    def find(q: str) -> str:
+        while group[q] != q:
+            q = group[q]
+        return q
+
+    for r in p.rules:
+        for b in r.body:
+            if r.head.pred in good and b.atom.pred in good:
+                a, c = sorted((find(r.head.pred), find(b.atom.pred)))
+                group[c] = a
+    out: dict[str, set[str]] = defaultdict(set)
+    for q in good:
+        out[find(q)].add(q)
+    return sorted(out.values(), key=lambda g: (-len(g), min(g)))
+
+
 def witness(spark: SparkSession, body: str, facts: dict[str, DataFrame]) -> dict[str, str] | None:
     """One binding of a conjunction such as ``p(?X, ?Y), q(?Y)`` over stored facts, or None."""
     names = sorted({v for m in _ATOM.finditer(body) for v in Atom(m[2], tuple(a.strip() for a in m[3].split(","))).vars})

@@ -206,6 +206,53 @@ def evaluate_with_equality(spark, p: Program, facts: dict[str, DataFrame], rules
     return model, merged
 
 
+def decide_equal(reps: DataFrame, asked: DataFrame) -> DataFrame:
+    """``x, y, verdict`` of the ``asked`` (x, y): entailed where one value or one class, refuted where their classes hold
+    different numbers, else unknown."""
+    number = F.col("node").try_cast("double")
+    valued = reps.groupBy("rep").agg(F.max(number).alias("v"))
+    side = lambda c: reps.select(F.col("node").alias(c), F.col("rep").alias(f"r{c}"))
+    rows = asked.select("x", "y").distinct().join(side("x"), "x", "left").join(side("y"), "y", "left").withColumns({"rx": F.coalesce("rx", "x"), "ry": F.coalesce("ry", "y")})
+    for c in ("rx", "ry"):
+        rows = rows.join(valued.select(F.col("rep").alias(c), F.col("v").alias(f"v{c}")), c, "left").withColumn(f"v{c}", F.coalesce(f"v{c}", F.col(c).try_cast("double")))
+    same = (F.col("rx") == F.col("ry")) | (F.col("vrx") == F.col("vry"))
+    return rows.select("x", "y", F.when(F.coalesce(same, F.lit(False)), "entailed").when(F.col("vrx") != F.col("vry"), "refuted").otherwise("unknown").alias("verdict"))
+
+
+def explain_equal(pairs: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
+    """The links of ``pairs`` (x, y, ...) that make two values equal, a shortest chain of them; empty where nothing does."""
+    from axiomill.operators.introspect import witness_path
+
+    links = pairs.select("x", "y", F.lit(None).cast("bigint").alias("sid"))
+    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"), "sid"))
+    return [(a, b) for a, b, _ in witness_path(both, x, y)]
+
+
+def fd_violations(e: Equality, rows: DataFrame) -> DataFrame:
+    """Keys of a functional relation with several values: the key's columns and ``n``, the number of distinct values."""
+    key = [f"a{i}" for i in e.key]
+    return rows.select(*key, f"a{e.value}").distinct().groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def list_members(terms: DataFrame) -> DataFrame:
+    """``list, member, at`` of list terms (list, items array<string>), places from 1; repeats keep their first place."""
+    rows = terms.select("list", F.posexplode("items").alias("i", "member")).dropna(subset=["member"])
+    return rows.groupBy("list", "member").agg((F.min("i") + 1).alias("at"))
+
+
+def without_true_negatives(literals: DataFrame, model: DataFrame) -> DataFrame:
+    """Literals (clause, atom, positive) without the positive ones whose ``atom`` the complete ``model`` (atom) lacks and
+    the negative ones it has; a clause that loses all of them is gone from the rows."""
+    held = literals.join(model.select("atom").distinct().withColumn("there", F.lit(True)), "atom", "left")
+    return held.where(F.coalesce("there", F.lit(False)) == F.col("positive")).select("clause", "atom", "positive")
+
+
+def shared_leaves(clauses: DataFrame, conjecture: list[str]) -> DataFrame:
+    """``clause, shared``: how many distinct ground leaves a clause (clause, leaves array<string>) has in common with the
+    conjecture's."""
+    return clauses.select("clause", F.size(F.array_intersect("leaves", F.array(*map(F.lit, conjecture)).cast("array<string>"))).alias("shared"))
+
+
 # --- chase ------------------------------------------------------------------------------------------------------------
 
 

@@ -56,3 +56,14 @@ def proof_graph(st: DataFrame, key: str) -> DataFrame:
     lines = st.select(key, F.concat(F.array(F.concat(F.lit('  "'), "step", F.lit('" [label="'), "role", F.lit('"];'))), edge).alias("l"))
     body = F.array_join(F.sort_array(F.flatten(F.collect_list("l"))), "\n")
     return lines.groupBy(key).agg(F.concat(F.lit("digraph proof {\n"), body, F.lit("\n}")).alias("dot"))
+
+
+def proof_prose(st: DataFrame, key: str) -> DataFrame:
+    """``key, prose``: the proof of each transcript as sentences in order of its steps: what is given, and what follows from
+    what by which rule. A proof's steps come together in one row."""
+    given = F.concat(F.lit("We are given "), "formula", F.lit(" ("), "step", F.lit(")."))
+    goal = F.concat(F.lit("We are to show "), "formula", F.lit(" ("), "step", F.lit(")."))
+    made = F.concat(F.lit("From "), F.array_join("parents", " and "), F.lit(" follows "), "formula", F.lit(" by "), F.coalesce("rule", F.lit("inference")), F.lit(" ("), "step", F.lit(")."))
+    said = F.when(F.size("parents") > 0, made).when(F.col("role") == "conjecture", goal).otherwise(given)
+    lines = st.withColumn("at", F.monotonically_increasing_id()).select(key, F.struct("at", said.alias("s")).alias("l"))
+    return lines.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("l")).getField("s"), " ").alias("prose"))

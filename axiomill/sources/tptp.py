@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from axiomill.plans.cut import cut
+from axiomill.plans.prefix import running_sum
 from axiomill.sources.kif import Node, op
 
 _TOKEN = re.compile(
@@ -269,3 +271,45 @@ def export(kif: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
 
     rows = kif.where(~F.col("head").isin(*exclude)) if exclude else kif
     return rows.select("sid", "kif").mapInPandas(run, "sid bigint, line string, dropped string")
+
+
+def indexed(lines: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
+    """``line_no, sid, line``: exported lines in order of sid, numbered from 1, and so which statement each is.
+
+    Numbers run over ranges of sids, so that no task numbers them all.
+    """
+    kept = cut(lines.where("line is not null").select("sid", "line"), "lines", n=F.count("*"), low=F.min("sid"), high=F.max("sid"))
+    n, low, high = (kept.seen[k] or 0 for k in ("n", "low", "high"))
+    step = max(1, (high - low + 1) // (n // bucket_rows + 1))
+    rows = kept.df.withColumn("bucket", F.floor((F.col("sid").cast("decimal(20,0)") - low) / step).cast("bigint")).withColumn("one", F.lit(1))
+    return running_sum(rows, [], "bucket", ["sid", "line"], "one", "line_no").select("line_no", "sid", "line")
+
+
+def export_selected(kif: DataFrame, chosen: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``export`` of the statements among ``chosen`` (sid), such as a relevance selection."""
+    return export(kif.join(chosen.select("sid").distinct(), "sid", "left_semi"), exclude)
+
+
+def problem(axioms: list[str], query: str | None, name: str = "test") -> tuple[str, list[str]]:
+    """The text of a whole problem: axioms as hypotheses, the query as conjecture; and what has no fof form."""
+    from axiomill.sources.kif import parse as read_kif
+
+    lines, dropped = [f"% {name}"], []
+    for k, (role, text) in enumerate([*(("hypothesis", a) for a in axioms), *([("conjecture", query)] if query else [])]):
+        try:
+            lines.append(annotated(f"kb_{k}", role, read_kif(text)[0][0]))
+        except (TptpError, IndexError):
+            dropped.append(text)
+    return "\n".join(lines), dropped
+
+
+def export_problems(tests: DataFrame) -> DataFrame:
+    """``item_id, problem, dropped`` of test cases (item_id, file, axioms, query_kif), each by itself."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, *problem(list(a) if a is not None else [], q, f or "test")) for i, f, a, q in zip(b["item_id"], b["file"], b["axioms"], b["query_kif"])]
+            yield pd.DataFrame(rows, columns=["item_id", "problem", "dropped"])
+
+    return tests.select("item_id", "file", "axioms", "query_kif").mapInPandas(run, "item_id bigint, problem string, dropped array<string>")
