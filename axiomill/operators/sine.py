@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from axiomill.operators.store import Met
 from axiomill.plans.cut import cut
 from axiomill.plans.prefix import running_sum
 from axiomill.plans.skew import union_all
@@ -58,25 +59,18 @@ def select(use: DataFrame, seeds: DataFrame, tolerance: float = 1.2, depth: int
         return use.sparkSession.createDataFrame([], "sid bigint, wave int")
     held = cut(use.select("sid", "symbol").dropna().distinct(), "uses")
     edges = cut(costs(held.df).where(F.col("cost") <= max(1.0, tolerance)).select("sid", "symbol"), "triggers")
-    front, n = seeds.select("symbol").dropna().distinct(), 0
-    taken: DataFrame | None = None
-    known_symbols = front
-    k = 0
+    # a wave is one written step: what its axioms' symbols trigger, without what is taken already
+    front, n, k, taken = seeds.select("symbol").dropna().distinct(), 0, 0, Met(["sid"])
     while (depth is None or k < depth) and (cap is None or n < cap):
         k += 1
         new = edges.df.join(front, "symbol", "left_semi").select("sid").distinct()
-        if taken is not None:
-            new = new.join(taken, "sid", "left_anti")
-        wave = cut(new.select("sid", F.lit(k).alias("wave")), "wave", n=F.count("*"))
+        wave = cut((taken.new(new) if taken.frames else new).select("sid", F.lit(k).alias("wave")), "wave", n=F.count("*"))
         if not wave.seen["n"]:
             break
         n += wave.seen["n"]
-        taken = wave.df if taken is None else taken.unionByName(wave.df)
-        fresh = held.df.join(wave.df, "sid", "left_semi").select("symbol").distinct().join(known_symbols, "symbol", "left_anti")
-        fresh = cut(fresh, "symbols").df
-        known_symbols = known_symbols.unionByName(fresh)
-        front = fresh
-    return taken if taken is not None else use.sparkSession.createDataFrame([], "sid bigint, wave int")
+        taken.add(wave.df)
+        front = held.df.join(wave.df, "sid", "left_semi").select("symbol").distinct()
+    return taken.all() if taken.frames else use.sparkSession.createDataFrame([], "sid bigint, wave int")
 
 
 def activation(use: DataFrame, seeds: DataFrame, top: float = MAX_TOLERANCE) -> DataFrame:
