@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from axiomill.functions import numeric, render
 from axiomill.operators import closure, events, introspect, patterns, runs, search, sine, store, taxonomy, validate
-from axiomill.plans import ask, datalog, extract, prover, rewrite
+from axiomill.plans import ask, datalog, extract, prover, recognize, rewrite
 from axiomill.plans.cut import folder, on_progress
 from axiomill.sources import config, kif, persist, szs, tptp, tq
 from axiomill.streaming import ingest
@@ -1140,3 +1140,134 @@ def num_euclidean(spark):
 @golden("name string, safe string, back string", ("Foo-12", "s__Foo_x2d12", "Foo-12"), ("p", "s__p", "p"))
 def tptp_names(spark):
     return [(n, tptp.mangle(n), tptp.demangle(tptp.mangle(n))) for n in ("Foo-12", "p")]
+
+
+# --- shapes, typed forms, further clauses -----------------------------------------------------------------------------
+
+_SHAPES = """(=> (and (isa ?X ?A) (kindOf ?A ?B)) (isa ?X ?B)) (=> (and (rare ?X ?A) (odd ?A ?B)) (rare ?X ?B)) (=> (and (subrel ?R1 ?R2) (?R1 ?X ?Y)) (?R2 ?X ?Y))
+(=> (and (isa ?R Chaining) (?R ?X ?Y) (?R ?Y ?Z)) (?R ?X ?Z)) (=> (and (isa ?R Mirror) (?R ?X ?Y)) (?R ?Y ?X)) (p a)"""
+
+
+@golden("role string, name string", ("instance", "isa"), ("subclass", "kindOf"), ("subrelation", "subrel"), ("transitive", "Chaining"), ("symmetric", "Mirror"))
+def roles_by_shape(spark):
+    """Relations found by the axioms that define them, the frequent ones before the rare."""
+    return recognize.roles(kif.parse(_SHAPES)[0], {"isa": 9, "kindOf": 5, "rare": 1}).items()
+
+
+_NARRATIVE = """(=> (happens ?E ?T) (or (and (equal ?E push) (equal ?T n0)) (and (equal ?E pull) (equal ?T n1))))
+(=> (initiates ?E ?F ?T) (or (and (equal ?E push) (equal ?F forwards) (not (happens pull ?T))) (and (equal ?E pull) (equal ?F spinning) (happens push ?T))))
+(=> (terminates ?E ?F ?T) (and (equal ?E pull) (equal ?F forwards))) (not (holdsAt spinning n0))"""
+
+
+@golden("tbl string, a string, b string, c string, d string", ("happens", "n0", "push", None, None), ("happens", "n1", "pull", None, None), ("initiates", "push", "forwards", None, "pull"), ("initiates", "pull", "spinning", "push", None), ("terminates", "pull", "forwards", None, None), ("initial", "spinning", "false", None, None), ("bails", "true", None, None, None))
+def ec_narrative(spark):
+    """Tables out of only-if axioms; beyond the fragment nothing is read."""
+    n = recognize.narrative(kif.parse(_NARRATIVE)[0])
+    out = [("happens", *x, None, None) for x in n.happens] + list(n.effects) + [("initial", f, str(v).lower(), None, None) for f, v in n.initial]
+    return [*out, ("bails", str(recognize.narrative(kif.parse(_NARRATIVE + " (trajectory a b c d)")[0]) is None).lower(), None, None, None)]
+
+
+@golden("fluent string, time string, holds boolean", ("forwards", "n0", False), ("forwards", "n1", True), ("forwards", "n2", False))
+def ec_narrative_run(spark):
+    """A parsed narrative, run."""
+    n = recognize.narrative(kif.parse(_NARRATIVE)[0])
+    h = _frame(spark, "time string, event string", *n.happens)
+    e = _frame(spark, "kind string, event string, fluent string, with string, without string", *n.effects)
+    return events.holds_at(h, e, _frame(spark, "fluent string, time string", *[("forwards", f"n{i}") for i in range(3)]))
+
+
+@golden("nth bigint, line string", (0, "tff(s__age_type,type,s__age: ($i * $int) > $o)."), (1, "tff(s__Bob_type,type,s__Bob: $i)."), (2, "tff(s__old_type,type,s__old: $i > $o)."), (3, "tff(k,axiom,! [V__X: $i, V__N: $int] : (s__age(V__X, V__N) => (s__old(V__X) | s__old(s__Bob))))."))
+def tptp_typed(spark):
+    """Typed variables and the types of the symbols."""
+    lines = tptp.typed("k", one("(=> (age ?X ?N) (or (old ?X) (old Bob)))"), {("age", 2): "Integer", ("age", 1): "Human"})
+    order = {"s__age": 0, "s__Bob": 1, "s__old": 2}
+    return [(next((i for k, i in order.items() if t.startswith(f"tff({k}_type")), 3), t) for t in lines]
+
+
+@golden("variables string, cut boolean", ("?N Integer, ?M Integer", True), ("?N Real, ?M Integer", True), ("none", False))
+def tptp_numeric_variants(spark):
+    """A variable in a place of several number classes, once for each."""
+    flexible = {("less", 1): ["Integer", "Real"], ("less", 2): ["Integer", "Real"]}
+    made, more = tptp.numeric_variants(one("(less ?M ?N)"), flexible, 2)
+    none, less = tptp.numeric_variants(one("(p ?M)"), flexible)
+    return [(", ".join(f"{v} {c}" for v, c in sorted(m.items(), reverse=True)), more) for m in made] + [("none" if not none else "some", less)]
+
+
+@golden("line string", ("thf(k,axiom,! [V__X: $i] : ((s__believes @ V__X @ (s__p @ s__A)) => (? [V__Y: $i] : (s__knows @ V__X @ V__Y)))).",))
+def tptp_higher_order(spark):
+    return [(tptp.higher_order("k", "axiom", one("(=> (believes ?X (p A)) (exists (?Y) (knows ?X ?Y)))")),)]
+
+
+@golden("text string", ("(=> (and (p ?X ?Y) (q ?X) (r ?X)) (s ?Y))",))
+def rewrite_augment(spark):
+    """What the conditions imply is added to them: q follows from p, r from q."""
+    return [(kif.emit(rewrite.augment(one("(=> (p ?X ?Y) (s ?Y))"), {"p": [one("(q ?1)")], "q": [one("(r ?1)")]})),)]
+
+
+@golden("nth bigint, literals bigint, rule string", (0, 3, "split"), (1, 2, "split"))
+def prover_split(spark):
+    """p(x) or q(x) beside r(y): the second group is named."""
+    x, y = ("?x",), ("?y",)
+    c = prover.split(prover.Clause(((True, ("p", x)), (True, ("r", y)), (True, ("q", x)))))
+    return [(i, len(k.literals), k.rule) for i, k in enumerate(c)]
+
+
+@golden("text string", ("(believes Ann (and_q (p A) (not_q (q B))))",), ("(and (p A) (believes Ann (q B)))",))
+def prover_quoted(spark):
+    """Operators of a formula that stands as an argument become functions."""
+    return [(kif.emit(prover.quote(one(t))),) for t in ("(believes Ann (and (p A) (not (q B))))", "(and (p A) (believes Ann (q B)))")]
+
+
+@golden("status string", ("Proved",))
+def prover_modal(spark):
+    """Belief in a conjunction is belief in its parts."""
+    given = [kif.op("or", kif.op("not", one("(believes ?A (and_q ?P ?Q))")), one("(believes ?A ?P)")), prover.quote(one("(believes Ann (and (p A) (q B)))"))]
+    assert [len(c.literals) for c in prover.modal_clauses("believes")] == [2, 2]
+    return [(prover.prove(given, one("(believes Ann (p A))")).status,)]
+
+
+@golden("text string", ("(instance Bob kappa1)",), ("(<=> (instance ?X kappa1) (and (human ?X) (old ?X)))",))
+def prover_class_terms(spark):
+    lifted, made = prover.lift_classes(one("(instance Bob (KappaFn ?X (and (human ?X) (old ?X))))"))
+    return [(kif.emit(n),) for n in (lifted, *made)]
+
+
+@golden("goal string, who string", ("jail", "Bob"), ("fly", None))
+def prover_backward(spark):
+    """From the goal back to the facts, the depth growing."""
+    v, bob, ann = ("?P",), ("Bob",), ("Ann",)
+    rules = [(("breaks", v), [("driving", v), ("phone", v)]), (("jail", v), [("breaks", v)]), (("driving", ann), []), (("driving", bob), []), (("phone", bob), [])]
+    return [(g, got["?W"][0] if (got := prover.backward(rules, (g, ("?W",)))) else None) for g in ("jail", "fly")]
+
+
+@golden("sid bigint, wave bigint", (1, 1), (2, 2), (3, 3))
+def sine_definitions(spark):
+    """Definitions of a, of what they name, and so on."""
+    s = "sid bigint, symbol string"
+    defines = _frame(spark, s, (1, "a"), (2, "b"), (3, "c"), (4, "z"))
+    return sine.definitions(defines, _frame(spark, s, (1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "a")), _seed(spark, "a"))
+
+
+@golden("rel string, x string, y string, holds boolean", ("kin", "Ann", "Bob", True), ("instance", "Bob", "Animal", True), ("equal", "a", "a", True), ("kin", "Bob", "Ann", False), ("subclass", "Rock", "Animal", False))
+def tax_holds(spark):
+    """Stored, stored below, reflexive, or a way up; else unknown."""
+    e = _edges(spark, ("mother", "kin", "subrelation"), ("Bob", "Human", "instance"), ("Human", "Animal", "subclass"), ("Rock", "Mineral", "subclass"))
+    asked = _frame(spark, "rel string, x string, y string", ("kin", "Ann", "Bob"), ("instance", "Bob", "Animal"), ("equal", "a", "a"), ("kin", "Bob", "Ann"), ("subclass", "Rock", "Animal"))
+    return taxonomy.holds(e, store.facts(_st(spark, "(mother Ann Bob)")), asked)
+
+
+def _tries(spark):
+    problems = [("easy", ["(p a)", "(=> (p ?X) (q ?X))"], "(q a)"), ("long", ["(n 0)", "(=> (n ?X) (m ?X))", "(=> (m ?X) (k ?X))", "(=> (k ?X) (l ?X))"], "(l 0)"), ("never", ["(p a)"], "(q a)")]
+    return runs.sweep(spark.createDataFrame(problems, "problem string, axioms array<string>, query string"), [("quick", 4), ("slow", 500)])
+
+
+@golden("config string, problem string, solved boolean, status string", ("quick", "easy", True, "Proved"), ("slow", "easy", True, "Proved"), ("quick", "long", False, "Unknown"), ("slow", "long", True, "Proved"), ("quick", "never", False, "Disproved"), ("slow", "never", False, "Disproved"))
+def runs_sweep(spark):
+    """Every problem under every configuration."""
+    return _tries(spark)
+
+
+@golden("problem string, config string, status string", ("easy", "quick", "Proved"), ("long", "slow", "Proved"), ("never", "slow", "Disproved"))
+def runs_schedule(spark):
+    """The first lane of a schedule that solves each problem."""
+    return runs.first_solved(_tries(spark), ["quick", "slow"])

@@ -132,3 +132,21 @@ def rescue(use: DataFrame, frontier: DataFrame, allowed: DataFrame, top_k: int =
     """
     best = structural_scores(use, frontier, hub).orderBy(F.desc("score"), "sid").limit(top_k * scan)
     return best.join(allowed.select("sid").distinct(), "sid", "left_semi").orderBy(F.desc("score"), "sid").limit(top_k)
+
+
+def definitions(defines: DataFrame, use: DataFrame, seeds: DataFrame, rounds: int = 3, cap: int = 2000) -> DataFrame:
+    """``sid, wave``: the definitions of the ``seeds`` (symbol), then those of the symbols in these, for so many rounds.
+
+    ``defines`` is (sid, symbol), what an axiom defines, ``use`` (sid, symbol) what it names. No round starts once ``cap`` are
+    taken.
+    """
+    front, taken, n = seeds.select("symbol").distinct(), Met(["sid"]), 0
+    for k in range(1, rounds + 1):
+        new = defines.join(front, "symbol", "left_semi").select("sid").distinct()
+        wave = cut((taken.new(new) if taken.frames else new).select("sid", F.lit(k).alias("wave")), "definitions", n=F.count("*"))
+        n += wave.seen["n"]
+        taken.add(wave.df)
+        if not wave.seen["n"] or n >= cap:
+            break
+        front = use.join(wave.df, "sid", "left_semi").select("symbol").distinct()
+    return taken.all()

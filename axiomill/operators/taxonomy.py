@@ -223,6 +223,21 @@ def refuted(e: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
     return first.select("instance", "class", "p.a", "p.b")
 
 
+def holds(e: DataFrame, facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rel, x, y, holds`` of the ``asked`` (rel, x, y): stored as a fact of the relation or of one below it, equal by
+    reflexivity, or, for instance, subclass and subrelation, a way up in the taxonomy. False says unknown, not denied."""
+    q = cut(asked.select("rel", "x", "y").distinct(), "asked").df
+    f = facts.where(F.size("args") == 2).select(F.col("rel").alias("told"), F.get("args", F.lit(0)).alias("x"), F.get("args", F.lit(1)).alias("y"))
+    under = reach(e.where("rel = 'subrelation'").select(F.col("parent").alias("x"), F.col("child").alias("y")), q.select(F.col("rel").alias("seed")).distinct())
+    names = q.select("rel", F.col("rel").alias("told")).distinct().unionByName(under.select(F.col("seed").alias("rel"), F.col("node").alias("told")))
+    stored = q.join(names, "rel").join(f, ["told", "x", "y"], "left_semi").select("rel", "x", "y")
+    ways = q.where("rel in ('instance', 'subclass', 'subrelation') and x <> y")
+    up = ways.join(reaches(e, ways.select("x", "y")), ["x", "y"], "left_semi").select("rel", "x", "y")
+    same = q.where("rel in ('equal', 'subclass', 'subrelation') and x = y")
+    yes = stored.unionByName(up).unionByName(same).distinct().withColumn("yes", F.lit(True))
+    return q.join(yes, ["rel", "x", "y"], "left").select("rel", "x", "y", F.coalesce("yes", F.lit(False)).alias("holds"))
+
+
 def closure_facts(e: DataFrame, facts: DataFrame, seeds: DataFrame, cap: int = 10_000) -> DataFrame:
     """``sid, hops``: the subclass and instance facts along the ways up from ``seeds`` (seed), nearest first; of more than
     ``cap`` those farthest from the seeds are left out."""

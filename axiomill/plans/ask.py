@@ -31,8 +31,9 @@ MAX_AXIOMS = 2000
 def ask(use: DataFrame, kif: DataFrame, query: str, hypotheses: list[str] = (), tolerance: float = 1.2, attempts: int = 4, max_steps: int = 2000, exclude: DataFrame | None = None) -> Answer:
     """Proved, Disproved or Unknown for a conjecture over the axioms ``kif`` (sid, kif), ``use`` (sid, symbol) being theirs.
 
-    The selection starts at ``tolerance`` and doubles until something is decided; at most MAX_AXIOMS axioms, the ones
-    reached first, come to the driver. A Disproved over a part of the axioms only counts as Unknown.
+    The selection starts at ``tolerance`` and doubles until something is decided; one of more than MAX_AXIOMS axioms is
+    narrowed to between it and the last that fitted. At most MAX_AXIOMS, the ones reached first, come to the driver. A
+    Disproved over a part of the axioms only counts as Unknown.
     """
     roots, wrong = parse(query)
     if wrong or len(roots) != 1:
@@ -42,6 +43,7 @@ def ask(use: DataFrame, kif: DataFrame, query: str, hypotheses: list[str] = (),
     seeds = use.sparkSession.createDataFrame([(s,) for s in names], "symbol string")
     rows = kif if exclude is None else kif.join(exclude.select("sid"), "sid", "left_anti")
     best, seen = Answer("Unknown", tolerance, 0), 0
+    least, most = 1.0, None
     for _ in range(attempts):
         chosen = sine.select(use, seeds, tolerance, cap=MAX_AXIOMS)
         texts = rows.join(chosen, "sid").orderBy("wave", "sid").limit(MAX_AXIOMS + 1).select("kif").collect()
@@ -52,9 +54,13 @@ def ask(use: DataFrame, kif: DataFrame, query: str, hypotheses: list[str] = (),
         except TooManyClauses:
             r = Result("Unknown")
         best = Answer(r.status, tolerance, len(given), r)
-        if r.status == "Proved" or len(texts) > MAX_AXIOMS:
+        if r.status == "Proved":
             break
-        tolerance *= 2
+        if len(texts) > MAX_AXIOMS:
+            most = tolerance
+        else:
+            least = tolerance
+        tolerance = least * 2 if most is None else (least + most) / 2
     # statements are compared with statements: one may have become several axioms
     if best.status == "Disproved" and rows.count() > seen:
         best.status = "Unknown"

@@ -404,3 +404,85 @@ def prove(axioms: list[Node], conjecture: Node | None, max_steps: int = 4000, ma
                     if k is not None:
                         return Result("Proved", proof(k), len(store))
     return Result("Unknown", [], len(store))
+
+
+# --- clauses of their own kind ----------------------------------------------------------------------------------------
+
+
+def split(c: Clause, names: itertools.count | None = None) -> list[Clause]:
+    """A clause whose literals fall into groups without a shared variable, as one clause a group: all but the first are
+    named by a new atom, which the first then lists. A clause in one piece stays as it is."""
+    names = names or itertools.count(1)
+    groups: list[tuple[set[str], list]] = []
+    for lit in c.literals:
+        own, lits, at = set(_count_vars(lit[1])), [lit], len(groups)
+        for g in [g for g in groups[::-1] if g[0] & own]:
+            at = groups.index(g)
+            groups.remove(g)
+            own |= g[0]
+            lits = g[1] + lits
+        groups.insert(at, (own, lits))
+    if len(groups) < 2:
+        return [c]
+    heads = [(f"split{next(names)}",) for _ in groups[1:]]
+    rest = [Clause(((False, h), *lits), c.parents, "split") for h, (_, lits) in zip(heads, groups[1:])]
+    return [Clause((*groups[0][1], *((True, h) for h in heads)), c.parents, "split"), *rest]
+
+
+def quote(n: Node, depth: int = 0) -> Node:
+    """The formula with every formula that stands as an argument of a relation turned into a term: its operators become
+    functions of the same name with ``_q``."""
+    if n.kind != "list" or not n.items:
+        return n
+    is_op = n.items[0].kind == "op"
+    head = Node("symbol", f"{n.items[0].val}_q") if is_op and depth else n.items[0]
+    inside = depth + (0 if is_op and not depth else 1)
+    return Node("list", "", (head, *(quote(x, inside) for x in n.items[1:])), n.span)
+
+
+def modal_clauses(relation: str) -> list[Clause]:
+    """Who stands in the relation to a quoted conjunction stands in it to both parts."""
+    a, p, q = ("?A",), ("?P",), ("?Q",)
+    both = (relation, a, ("and_q", p, q))
+    return [Clause(((False, both), (True, (relation, a, x))), (), "modal") for x in (p, q)]
+
+
+def lift_classes(n: Node, names: itertools.count | None = None, operator: str = "KappaFn") -> tuple[Node, list[Node]]:
+    """The formula with its class terms ``(KappaFn ?X formula)`` named, and for each name the axiom of its members."""
+    names = names or itertools.count(1)
+    made: list[Node] = []
+
+    def go(x: Node) -> Node:
+        if x.kind != "list":
+            return x
+        if x.items and x.items[0].val == operator and len(x.items) == 3:
+            inner, free = go(x.items[2]), [v for v in free_variables(x.items[2]) if v != x.items[1].val]
+            name = Node("symbol", f"kappa{next(names)}")
+            term = Node("list", "", (name, *(Node("variable", v) for v in free))) if free else name
+            made.append(op("<=>", Node("list", "", (Node("symbol", "instance"), x.items[1], term)), inner))
+            return term
+        return Node("list", "", tuple(map(go, x.items)), x.span)
+
+    return go(n), made
+
+
+def backward(rules: list[tuple[Term, list[Term]]], goal: Term, max_depth: int = 12) -> dict[str, Term] | None:
+    """A binding of the goal's variables under which it follows from Horn ``rules`` (head, body), facts having no body;
+    None without one. Searched depth first to a bound that grows by one, so that the shortest proof is found."""
+    fresh = itertools.count()
+
+    def solve(goals: list[Term], s: dict, left: int):
+        if not goals:
+            yield s
+            return
+        if left:
+            for head, body in rules:
+                mark = f"_{next(fresh)}"
+                (_, h), *b = _rename([(True, head), *((True, x) for x in body)], mark)
+                if h[0] == goals[0][0] and (m := unify(goals[0], h, s)) is not None:
+                    yield from solve([*(x for _, x in b), *goals[1:]], m, left - 1)
+
+    for bound in range(1, max_depth + 1):
+        for s in solve([goal], {}, bound):
+            return {v: _apply((v,), s) for v in _count_vars(goal)}
+    return None

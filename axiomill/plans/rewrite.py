@@ -83,3 +83,20 @@ def _width(n: Node, v: str) -> int:
     if n.items[0].val == v:
         return len(n.items) - 1
     return max((_width(x, v) for x in n.items), default=0)
+
+
+def augment(n: Node, implied: dict[str, list[Node]], rounds: int = 16) -> Node:
+    """An implication with what its conditions imply added to them, until nothing new comes.
+
+    ``implied`` gives for a relation the atoms that follow from one of its atoms, over ?1, ?2, ... for its arguments.
+    """
+    if n.head != "=>" or len(n.items) != 3:
+        return n
+    parts = list(n.items[1].items[1:]) if n.items[1].head == "and" else [n.items[1]]
+    for _ in range(rounds):
+        made = [substitute(t, {f"?{i}": y for i, y in enumerate(x.items[1:], 1)}) for x in parts if x.kind == "list" for t in implied.get(x.head or "", [])]
+        fresh = [m for m in dict.fromkeys(made) if m not in parts]
+        if not fresh:
+            return op("=>", parts[0] if len(parts) == 1 else op("and", *parts), n.items[2])
+        parts += fresh
+    raise ValueError(f"conditions still grow after {rounds} rounds")

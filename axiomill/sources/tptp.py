@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from dataclasses import dataclass
@@ -313,3 +314,92 @@ def export_problems(tests: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["item_id", "problem", "dropped"])
 
     return tests.select("item_id", "file", "axioms", "query_kif").mapInPandas(run, "item_id bigint, problem string, dropped array<string>")
+
+
+# --- typed and higher-order forms -------------------------------------------------------------------------------------
+
+SORTS = {"Integer": "$int", "Rational": "$rat", "Real": "$real"}
+
+
+def typed(name: str, n: Node, sorts: dict[tuple[str, int], str] | None = None) -> list[str]:
+    """A formula as tff lines: the types of its symbols, then the formula with typed variables.
+
+    ``sorts`` gives the class of (relation, place), 0 for a function's value; the number classes become number types, all
+    else is ``$i``. A variable has the narrowest number type of its places. Heads in the place of a formula are relations.
+    """
+    sorts = sorts or {}
+    order = ["$i", "$real", "$rat", "$int"]
+    of = lambda rel, i: SORTS.get(sorts.get((rel, i), ""), "$i")
+    types: dict[str, str] = {}
+    variables: dict[str, str] = {}
+
+    def walk(x: Node, formula: bool, want: str = "$i") -> None:
+        if x.kind in ("variable", "row"):
+            have = variables.get(x.val, "$i")
+            variables[x.val] = max(have, want, key=order.index)
+        elif x.kind == "symbol":
+            types.setdefault(mangle(x.val), "$o" if formula else want)
+        elif x.kind == "list" and x.items:
+            if x.items[0].kind == "op":
+                body = x.items[2:] if x.head in ("forall", "exists") else x.items[1:]
+                for y in body:
+                    walk(y, x.head != "equal")
+                return
+            rel, args = x.items[0].val, x.items[1:]
+            places = [of(rel, i) for i in range(1, len(args) + 1)]
+            for y, t in zip(args, places):
+                walk(y, False, t)
+            value = "$o" if formula else of(rel, 0)
+            types[mangle(rel)] = f"({' * '.join(places)}) > {value}" if len(places) > 1 else f"{places[0]} > {value}" if places else value
+
+    walk(n, True)
+    mark = lambda v: f"{write(Node('variable', v))}: {variables.get(v, '$i')}"
+    text = annotated(name, "axiom", n)
+    for v in variables:
+        plain = write(Node("variable", v))
+        text = re.sub(rf"(?<=[\[ ]){plain}(?=[,\]])(?=[^\[\]]*\] :)", mark(v), text)
+    lines = [f"tff({k}_type,type,{k}: {t})." for k, t in types.items()]
+    return [*lines, "tff" + text[3:]]
+
+
+def numeric_variants(n: Node, flexible: dict[tuple[str, int], list[str]], most: int = 9) -> tuple[list[dict[str, str]], bool]:
+    """Assignments of number classes to the variables that stand in ``flexible`` places (relation, place): each a variant of
+    the formula beside the untyped one; and whether more than ``most`` were left out."""
+    options: dict[str, set[str]] = {}
+
+    def walk(x: Node) -> None:
+        if x.kind == "list" and x.items:
+            for i, y in enumerate(x.items[1:], 1):
+                if y.kind == "variable" and (x.items[0].val, i) in flexible:
+                    options.setdefault(y.val, set()).update(flexible[x.items[0].val, i])
+                walk(y)
+
+    walk(n)
+    made = [dict(zip(sorted(options), c)) for c in itertools.product(*(sorted(options[v]) for v in sorted(options)))] if options else []
+    return made[:most], len(made) > most
+
+
+def higher_order(name: str, role: str, n: Node) -> str:
+    """A formula as thf: application by ``@``, so that formulas and relations may stand as arguments."""
+    from axiomill.plans.prover import free_variables
+
+    def go(x: Node) -> str:
+        if x.kind != "list":
+            return write(x)
+        a = x.items[1:]
+        h = x.head if x.items and x.items[0].kind == "op" else None
+        if h in ("and", "or"):
+            return "(" + (" & " if h == "and" else " | ").join(map(go, a)) + ")"
+        if h == "not":
+            return f"~ {go(a[0])}"
+        if h in ("=>", "<=>", "equal"):
+            return f"({go(a[0])} {'=' if h == 'equal' else h} {go(a[1])})"
+        if h in ("forall", "exists"):
+            return f"({'!' if h == 'forall' else '?'} [{', '.join(write(v) + ': $i' for v in a[0].items)}] : {go(a[1])})"
+        return "(" + " @ ".join(map(go, x.items)) + ")"
+
+    free = free_variables(n)
+    body = go(n)
+    if free:
+        body = f"! [{', '.join(write(Node('variable', v)) + ': $i' for v in free)}] : {body}"
+    return f"thf({name},{role},{body})."
