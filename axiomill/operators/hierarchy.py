@@ -181,11 +181,37 @@ def _chains(tree: DataFrame) -> list[Cut]:
     return parts
 
 
+_SEGMENTS = pa.schema([("chain", pa.int64()), ("over", pa.int64()), ("segs", pa.list_(pa.struct([("chain", pa.int64()), ("upto", pa.int64())])))])
+
+
+def _finish_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of chains (chain, over, upto) that hang, all but the roots' own being among the rows."""
+    chain, over, upto = _column(batches, (np.int64, np.int64, np.int64))
+    if not len(chain):
+        return
+    to, segs = _places(chain, over).tolist(), [None] * len(chain)
+    hang = [{"chain": c, "upto": u} for c, u in zip(over.tolist(), upto.tolist())]
+    for i in range(len(chain)):
+        way = []
+        while i >= 0 and segs[i] is None:
+            way.append(i)
+            i = to[i]
+        for k in reversed(way):
+            segs[k] = [hang[k], *(segs[to[k]] if to[k] >= 0 else ())]
+    for k in range(0, len(chain), 10_000):
+        part = slice(k, k + 10_000)
+        yield pa.RecordBatch.from_arrays([pa.array(chain[part]), pa.nulls(len(chain[part]), pa.int64()), pa.array(segs[part], _SEGMENTS.field("segs").type)], schema=_SEGMENTS)
+
+
 def _segments(chains: DataFrame) -> list[Cut]:
     """Segments above each chain, nearest first, from (chain, over, upto): the frames' rows without ``over``, columns chain, segs."""
     segs = F.when(F.col("over").isNull(), F.array().cast(SEGMENT)).otherwise(F.array(F.struct(F.col("over").alias("chain"), F.col("upto").alias("upto"))).cast(SEGMENT))
     now = cut(chains.select("chain", "over", segs.alias("segs")), "segments", left=F.count("over"))
     parts = [now]
+    if 0 < now.seen["left"] <= TAIL_ROWS:
+        hung = now.df.where("over is not null").select("chain", "over", F.element_at("segs", 1).getField("upto").alias("upto"))
+        parts.append(cut(hung.coalesce(1).mapInArrow(_finish_segments, f"chain bigint, over bigint, segs {SEGMENT}"), "segments"))
+        return parts
     while now.seen["left"]:
         a = now.df.where("over is not null")
         known = union_all([*[p.df.where("over is null") for p in parts], a])

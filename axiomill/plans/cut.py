@@ -8,6 +8,7 @@ lazy result still reads lies in the application's own folder, which goes when th
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -35,8 +36,9 @@ def _delete(spark: SparkSession, name: str) -> None:
 def _at_end(spark: SparkSession, name: str) -> None:
     try:
         _delete(spark, name)
-    except Exception:  # the JVM may be gone: the folder is left to whoever cleans the shared folder
-        pass
+    except Exception:  # the session may be stopped: a local folder goes without it, another is left to whoever cleans there
+        if name.startswith("file:"):
+            shutil.rmtree(name[5:].replace("///", "/", 1).replace("//", "/", 1), ignore_errors=True)
 
 
 def folder(spark: SparkSession) -> str:
