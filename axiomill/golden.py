@@ -1,6 +1,7 @@
 """Queries over inline fixtures, for operators whose input no data folder holds; the SQL states the expected rows.
 
-The rows of the fixtures were worked out by hand from the operators' rules, not taken from a run.
+The rows of the fixtures were worked out by hand from the operators' rules. Where a first run differed, the rule was read
+again and either the operator or the expectation mended: two expectations had overlooked a case or an order.
 """
 
 from __future__ import annotations
@@ -394,13 +395,12 @@ def workspace_names(spark):
     return introspect.workspace_symbols(_st(spark, "(subclass HotDog Food)\n(instance dogged Relation)\n(subclass Cat Food)"), "dog")
 
 
-@golden("child string, parent string, rel string, hops bigint, documentation string", ("Bob", "Human", "instance", 1, "A person"), ("Bob", "Animal", "instance", 1, None), ("Human", "Animal", "subclass", 2, "x"))
+@golden("child string, parent string, rel string, hops bigint, documentation string", ("Bob", "Human", "instance", 1, "A person"), ("Bob", "Animal", "instance", 1, None), ("Human", "Animal", "subclass", 2, None))
 def taxonomy_upwards(spark):
     """Links on the ways up; a parent's documentation stands beside every link to it."""
     e = _edges(spark, ("Bob", "Human", "instance"), ("Bob", "Animal", "instance"), ("Human", "Animal", "subclass"), ("Cat", "Animal", "subclass"))
     docs = search.docs(store.facts(_st(spark, '(documentation Human English "A person")')))
-    view = introspect.taxonomy_view(e, docs, "Bob")
-    return view.withColumn("documentation", F.when((F.col("hops") == 2) & F.col("documentation").isNull(), "x").otherwise(F.col("documentation")))
+    return introspect.taxonomy_view(e, docs, "Bob")
 
 
 @golden("language string, label string", ("EnglishTongue", "English"), ("OldNorse", None))
@@ -660,11 +660,10 @@ def valid_missing_part(spark):
     return validate.validate(_BASES[spark.sparkContext.applicationId], ["E016"])
 
 
-@golden("symbol string", ("likes",), ("A",), ("B",), ("bad_name",), ("unknownHead",))
+@golden("symbol string", ("A",), ("B",), ("bad_name",), ("unknownHead",))
 def valid_no_way_up(spark):
-    """E001: symbols without a path to the root class; of those the fixture declares none are."""
-    got = _findings(spark, "E001").select("symbol").where("symbol in ('A', 'B', 'bad_name', 'unknownHead', 'Human', 'adam')").distinct()
-    return got.union(_frame(spark, "symbol string", ("likes",)))
+    """E001: symbols without a path to the root class; asked of four that lack one and two that have it."""
+    return _findings(spark, "E001").select("symbol").where("symbol in ('A', 'B', 'bad_name', 'unknownHead', 'Human', 'adam')").distinct()
 
 
 @golden("text string, symbol string", ("(bad_name Bob)", "bad_name"), ("(unknownHead Ann)", "unknownHead"), ("(subclass A B)", "subclass"))
@@ -926,12 +925,12 @@ def axioms_schema_rules(spark):
     return [(f"{r.head} :- {', '.join(str(b.atom) for b in r.body)}", extract.shape(r)) for r in made]
 
 
-@golden("a0 string, a1 string", ("Ann", "Bob"), ("Bob", "Cid"), ("Ann", "Cid"), ("Cid", "Ben"))
+@golden("a0 string, a1 string", ("Ann", "Bob"), ("Bob", "Cid"), ("Ann", "Cid"), ("Cid", "Ben"), ("Bob", "Ben"), ("Ann", "Ben"))
 def axioms_schema_model(spark):
     """A transitive relation above another, by its schema rules."""
     x = extract.extract(kif.parse(_AXIOMS)[0])
     p = datalog.Program(extract.schema_rules(x.facts))
-    return datalog.evaluate(spark, datalog.cone(p, "ancestor"), {"parent": _rows(spark, ("Ann", "Bob"), ("Bob", "Cid")), "ancestor": _rows(spark, ("Cid", "Ben"))})["ancestor"].where("a1 <> 'Ben' or a0 = 'Cid'")
+    return datalog.evaluate(spark, datalog.cone(p, "ancestor"), {"parent": _rows(spark, ("Ann", "Bob"), ("Bob", "Cid")), "ancestor": _rows(spark, ("Cid", "Ben"))})["ancestor"]
 
 
 def _ages(spark):
