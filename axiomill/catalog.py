@@ -567,11 +567,11 @@ def ec_holds_state(spark, d):
 SELECT 'E:' || a.k AS x, 'B:' || b.k AS y FROM o a JOIN o b ON a.c = b.c AND a.i < b.i""")
 def temporal_before_closure(spark, d):
     """Orders of a customer as intervals, each earlier than the next: which ends lie strictly before which beginnings."""
-    o = table(spark, d, "orders")
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rel = o.select(F.lit("earlier").alias("rel"), F.col("o_orderkey").cast("string").alias("i"), F.lead("o_orderkey").over(w).cast("string").alias("j")).where("j is not null")
-    c = events.temporal_closure(events.network(rel))
-    return c.where("strict and x like 'E:%' and y like 'B:%'").select("x", "y")
+    o = table(spark, d, "orders").where("o_custkey is not null")
+    w = W.partitionBy("o_custkey").orderBy(F.asc_nulls_last("o_orderdate"), F.asc_nulls_last("o_orderkey"))
+    rel = o.select("o_custkey", F.lit("earlier").alias("rel"), F.col("o_orderkey").cast("string").alias("i"), F.lead("o_orderkey").over(w).cast("string").alias("j")).where("j is not null")
+    c = events.closure_within(rel, ["o_custkey"], events.steps(), "E:", "B:")
+    return c.where("strict").select("x", "y")
 
 
 # --- scalar functions -------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,44 @@ def test_temporal(spark):
     assert not events.consistent(bad)
 
 
+def brute_order(steps):
+    """Pairs to whether some way is strict."""
+    got = {}
+    for x, y, s in steps:
+        got[x, y] = got.get((x, y), False) or s
+    while True:
+        more = {(a, d): s or t for (a, b), s in got.items() for (c, d), t in got.items() if b == c and (s or t) > got.get((a, d), -1)}
+        if not more:
+            return got
+        for k, s in more.items():
+            got[k] = got.get(k, False) or s
+
+
+def test_order_within_groups(spark):
+    steps = {1: [("a", "b", False), ("b", "c", True), ("a", "c", False), ("c", "d", False)], 2: [("a", "b", True), ("b", "a", False), ("b", "ab", False)], None: [("d", "a", False)]}
+    rows = [(g, *s) for g, all_ in steps.items() for s in all_] + [(1, None, "d", True), (3, "a", None, True)]
+    df = spark.createDataFrame(rows, "g int, x string, y string, strict boolean")
+    stated = F.array(F.struct("x", "y", "strict"))
+    whole = {(g, *k, s) for g, all_ in steps.items() for k, s in brute_order(all_).items()}
+    assert sorted(map(str, map(tuple, events.closure_within(df, ["g"], stated).collect()))) == sorted(map(str, whole))
+    part = {tuple(r) for r in events.closure_within(df, ["g"], stated, "a", "a").collect()}
+    assert part == {r for r in whole if r[1][0] == r[2][0] == "a"} and (2, "a", "ab", True) in part
+
+
+def test_order_within_groups_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    pick = lambda: f"n{rng.randrange(9)}"
+    groups = [[(pick(), pick(), rng.random() < 0.2) for _ in range(rng.randrange(25))] for _ in range(30)]
+    lists = pa.array([[dict(zip("xys", s)) for s in g] for g in groups], pa.list_(pa.struct([("x", pa.string()), ("y", pa.string()), ("s", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(groups))), lists], ["g", "steps"])
+    want = {(i, *k, s) for i, g in enumerate(groups) for k, s in brute_order(g).items()}
+    for cells, links, rows in ((10**6, 10**6, 10**6), (20, 10**6, 7), (1, 1, 1), (200, 3, 10)):
+        for name, n in (("CELLS", cells), ("LINKS", links), ("OUT_ROWS", rows)):
+            monkeypatch.setattr(events, name, n)
+        got = [tuple(r.values()) for b in events._walk(batch, 1, "", "") for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("8", "3"), ("8.50", "0"), ("1e400", "2"), ("x", "1"), (None, "1"), ("1/2", "2")], "a string, b string")
     a, b = numeric.parse_number(F.col("a")), numeric.parse_number(F.col("b"))

@@ -1,7 +1,10 @@
 """Queries over whole tables, small ones written for the test."""
 
+import datetime as dt
+
 import __spark_entry__ as entry
 
+from axiomill.plans.cut import on_progress
 from tests.test_kb import edges, kb
 
 
@@ -41,3 +44,14 @@ def test_validation_over_whole_tables(spark, tmp_path):
     assert [r["symbol"] for r in q["valid_domain"](spark, str(tmp_path)).collect()] == ["Rock"]
     codes = {r["code"] for r in q["valid_all"](spark, str(tmp_path)).collect()}
     assert {"E001", "E002", "E005", "E006"} <= codes
+
+
+def test_order_of_orders_is_walked_without_written_steps(spark, tmp_path):
+    day = lambda n: dt.datetime(2020, 1, n)
+    rows = [(3, 1, day(1)), (1, 1, day(2)), (2, 1, day(2)), (9, 1, None), (4, 2, day(1)), (5, 2, day(3)), (6, 3, day(1)), (7, None, day(1)), (8, None, day(2))]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    written = []
+    end = on_progress(lambda tag, seen: written.append(tag))
+    got = run(spark, tmp_path, "temporal_before_closure")
+    end()
+    assert got == sorted((f"E:{a}", f"B:{b}") for a, b in ((3, 1), (3, 2), (3, 9), (1, 2), (1, 9), (2, 9), (4, 5))) and not written
